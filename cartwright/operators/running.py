@@ -92,3 +92,37 @@ def trailing_count(
         .where(F.col("_chunk") == chunk)
         .drop("_chunk")
     )
+
+
+def neighbours(
+    df: DataFrame, keys: list[str], order: list[Column], chunk: Column, columns: list[str]
+) -> DataFrame:
+    """Add ``next_<column>`` from the following row of the group (NULL on the last) and ``is_first``.
+
+    Works per chunk like ``running_before``; a chunk's last row takes the first row of the next.
+    """
+    rows = settle(df.withColumn("_chunk", chunk))
+    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    head = F.struct(*columns)
+    local = rows.withColumns({
+        "_next": F.lead(head).over(in_chunk),
+        "_row": F.row_number().over(in_chunk),
+    })
+    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    edges = (
+        rows.withColumn("_row", F.row_number().over(in_chunk))
+        .where(F.col("_row") == 1)
+        .select(*keys, "_chunk", head.alias("_head"))
+        .select(
+            *keys,
+            "_chunk",
+            F.lead("_head").over(by_chunk).alias("_edge"),
+            (F.row_number().over(by_chunk) == 1).alias("_first_chunk"),
+        )
+    )
+    following = F.coalesce("_next", "_edge")
+    return local.join(edges, [*keys, "_chunk"], "left").select(
+        *df.columns,
+        *[following[c].alias(f"next_{c}") for c in columns],
+        (F.col("_first_chunk") & (F.col("_row") == 1)).alias("is_first"),
+    )
