@@ -200,8 +200,13 @@ def _signal(metric: str) -> Column:
 
 def with_decisions(df: DataFrame) -> DataFrame:
     """Add ``decisions``, best first: by priority, then by rule order."""
-    quality, health = _signal("data_quality_failures"), _signal("api_health")
-    churn, reorder, gap = _signal("churn_rate"), _signal("reorder_rate"), _signal("days_between_orders")
+    found = {m: f"_{m}" for m in METRIC_INPUTS if m != "revenue_delta"}
+    rows = df.withColumns({name: _signal(metric) for metric, name in found.items()})
+    quality, health = col(found["data_quality_failures"]), col(found["api_health"])
+    churn, reorder, gap = (col(found[m]) for m in ("churn_rate", "reorder_rate", "days_between_orders"))
+    rows = rows.withColumn(
+        "_retention_priority", highest_priority(churn["severity"], reorder["severity"], gap["severity"])
+    )
 
     def decision(rule_no: int, kind: str, metric: str, priority: Column, evidence: Column) -> Column:
         title, action, rationale = DECISION_TEXTS[metric]
@@ -240,8 +245,7 @@ def with_decisions(df: DataFrame) -> DataFrame:
             churn.isNotNull() | reorder.isNotNull() | gap.isNotNull(),
             decision(
                 3, "recommendation", "retention_risk",
-                highest_priority(churn["severity"], reorder["severity"], gap["severity"]),
-                retention_evidence,
+                col("_retention_priority"), retention_evidence,
             ),
         ),
         F.when(
@@ -259,14 +263,16 @@ def with_decisions(df: DataFrame) -> DataFrame:
         5, "recommendation", "overall_health", F.lit("low"),
         F.create_map(F.lit("observed_metrics"), observed).cast("map<string,string>"),
     )
-    fired = F.filter(candidates, lambda d: d.isNotNull())
-    listed = F.when(F.size(fired) == 0, F.array(default)).otherwise(fired)
+    rows = rows.withColumn("_fired", F.filter(candidates, lambda d: d.isNotNull()))
+    listed = F.when(F.size("_fired") == 0, F.array(default)).otherwise(col("_fired"))
 
     def by_order(a: Column, b: Column) -> Column:
         first = F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1)
         return first.otherwise(a["rule_no"] - b["rule_no"])
 
-    return df.withColumn("decisions", F.array_sort(listed, by_order))
+    return rows.withColumn("decisions", F.array_sort(listed, by_order)).drop(
+        *found.values(), "_retention_priority", "_fired"
+    )
 
 
 def translate(text: Column, language: str = "fr") -> Column:
@@ -281,7 +287,10 @@ def detect_anomalies(df: DataFrame, entity: str, language: str = "en") -> DataFr
     """One row per entity and signal."""
     return (
         with_signals(df)
-        .select(entity, F.posexplode("signals").alias("signal_no", "s"))
+        # Outer, then a filter on the output: the inferred filter of a plain explode would
+        # repeat the whole rule expression below it.
+        .select(entity, F.posexplode_outer("signals").alias("signal_no", "s"))
+        .where(col("s").isNotNull())
         .select(
             entity,
             (col("signal_no") + 1).alias("signal_no"),
@@ -297,7 +306,7 @@ def build_decisions(df: DataFrame, entity: str, language: str = "en") -> DataFra
     """One row per entity and decision, ``place`` 1 first."""
     return (
         with_decisions(with_signals(df))
-        .select(entity, F.posexplode("decisions").alias("place", "d"))
+        .select(entity, F.posexplode_outer("decisions").alias("place", "d"))
         .select(
             entity,
             (col("place") + 1).alias("place"),
