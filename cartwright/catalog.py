@@ -9,7 +9,7 @@ from pyspark.sql.functions import col
 
 from cartwright.functions import segments as seg, text
 from cartwright.operators import metrics as m, quality as dq
-from cartwright.operators.running import heavy_keys, trailing_count
+from cartwright.operators.running import heavy_keys
 from cartwright.plans import decisions as dec, history, incremental, insights, marts, monitoring as mon
 from cartwright.plans import training as tr
 from cartwright.plans.warehouse import Warehouse
@@ -127,7 +127,7 @@ def _(w):
 
 
 def _spenders(w: Warehouse) -> DataFrame:
-    spent = shop.order_base(w.spark, w.root).groupBy("user_id").agg(
+    spent = w.order_base.groupBy("user_id").agg(
         F.sum("total_price").alias("total_spend"), F.count(F.lit(1)).alias("order_count")
     )
     customers = w.raw("customer").select(col("c_custkey").alias("user_id"))
@@ -301,11 +301,7 @@ def _(w):
 @query("trailing_30d_count")
 def _(w):
     days = history.customer_day_number(w.fct_orders)
-    per_day = days.groupBy("user_id", "customer_day_number").agg(F.count(F.lit(1)).alias("n"))
-    near = trailing_count(per_day, ["user_id"], "customer_day_number", "n", reach=30)
-    return days.join(near, ["user_id", "customer_day_number"]).select(
-        "order_id", col("trailing").alias("order_frequency_30d")
-    )
+    return history.with_trailing_orders(days).select("order_id", "order_frequency_30d")
 
 
 def _history(w: Warehouse) -> DataFrame:
@@ -519,9 +515,9 @@ def _(w):
 def _raw_report(w: Warehouse) -> DataFrame:
     return dq.quality_report(
         dq.raw_checks(
-            shop.order_base(w.spark, w.root),
-            shop.raw_products(w.spark, w.root),
-            shop.raw_order_products(w.spark, w.root),
+            w.order_base,
+            w.raw_products,
+            w.raw_order_products,
         )
     )
 
@@ -579,11 +575,11 @@ def _(w):
 @query("row_count_inventory")
 def _(w):
     raw = {
-        "raw_orders": shop.order_base(w.spark, w.root),
-        "raw_products": shop.raw_products(w.spark, w.root),
-        "raw_order_products": shop.raw_order_products(w.spark, w.root),
-        "raw_aisles": shop.raw_aisles(w.spark, w.root),
-        "raw_departments": shop.raw_departments(w.spark, w.root),
+        "raw_orders": w.order_base,
+        "raw_products": w.raw_products,
+        "raw_order_products": w.raw_order_products,
+        "raw_aisles": shop.raw_aisles(w.raw("part")),
+        "raw_departments": shop.raw_departments(w.raw("part")),
     }
     made = {n: df for n, df in _models(w).items() if not n.startswith("stg_")}
     return dq.row_counts({**raw, **made})
@@ -740,7 +736,7 @@ def _(w):
 
 def _runs(w: Warehouse) -> DataFrame:
     """One evaluation run per quarter of the target orders' dates."""
-    dates = shop.order_base(w.spark, w.root).select(
+    dates = w.order_base.select(
         "order_id", F.date_trunc("quarter", "order_date").cast("timestamp_ntz").alias("run_timestamp")
     )
     rows = settle(w.training.join(dates, "order_id"))

@@ -1,13 +1,14 @@
 """Running totals over ordered groups that may be too large for one task.
 
-A plain window puts a whole group into one task. Here each group is cut into consecutive
-chunks, every (group, chunk) is scanned by itself, and the chunk totals (one row per chunk)
-supply what came before. The result is exact for any chunking that respects the order.
+A plain window puts a whole group into one task, so it is used only where the measured number of
+rows rules out a large group. Otherwise each group is cut into consecutive chunks, every (group,
+chunk) is scanned by itself, and the chunk totals (one row per chunk) supply what came before.
+The result is exact for any chunking that respects the order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec, functions as F
 
 from cartwright.session import settle
 
@@ -28,29 +29,51 @@ def heavy_keys(
     return counts.where((F.col("n") > min_rows) & (F.col("n") * max_keys > total)).select(key)
 
 
+def _settled_chunks(df: DataFrame, chunk: Column, plain_rows: int | None) -> tuple[DataFrame, bool]:
+    """Settle ``df`` with its chunk, and tell whether a plain window per group is safe: so few rows
+    that no group can be large, or a single chunk throughout. Both are measured while writing."""
+    seen = Observation()
+    rows = settle(
+        df.withColumn("_chunk", chunk).observe(
+            seen,
+            F.count(F.lit(1)).alias("rows"),
+            F.min("_chunk").alias("first"),
+            F.max("_chunk").alias("last"),
+        )
+    )
+    found = seen.get
+    limit = HEAVY_GROUP_ROWS if plain_rows is None else plain_rows
+    return rows, found["rows"] <= limit or found["first"] == found["last"]
+
+
 def running_before(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
     chunk: Column,
     measures: dict[str, Column],
+    plain_rows: int | None = None,
 ) -> DataFrame:
     """Add, per measure, its sum over all earlier rows of the same group (0 on the first row).
 
     ``chunk`` must not decrease along ``order`` and must be bounded in rows for the data at hand.
     """
     names = list(measures)
-    rows = settle(
-        df.withColumn("_chunk", chunk).withColumns(
-            {f"_m_{n}": F.coalesce(expr, F.lit(0)) for n, expr in measures.items()}
-        )
+    rows, plain = _settled_chunks(
+        df.withColumns({f"_m_{n}": F.coalesce(expr, F.lit(0)) for n, expr in measures.items()}),
+        chunk,
+        plain_rows,
     )
 
-    in_chunk = (
-        Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = rows.withColumns({n: F.coalesce(F.sum(f"_m_{n}").over(in_chunk), F.lit(0)) for n in names})
+    def sums_before(window: WindowSpec) -> dict[str, Column]:
+        past = window.rowsBetween(Window.unboundedPreceding, -1)
+        return {n: F.coalesce(F.sum(f"_m_{n}").over(past), F.lit(0)) for n in names}
+
+    if plain:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumns(sums_before(window)).select(*df.columns, *names)
 
+    local = rows.withColumns(sums_before(Window.partitionBy(*keys, "_chunk").orderBy(*order)))
     chunks_before = (
         Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -95,15 +118,28 @@ def trailing_count(
 
 
 def neighbours(
-    df: DataFrame, keys: list[str], order: list[Column], chunk: Column, columns: list[str]
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    chunk: Column,
+    columns: list[str],
+    plain_rows: int | None = None,
 ) -> DataFrame:
     """Add ``next_<column>`` from the following row of the group (NULL on the last) and ``is_first``.
 
     Works per chunk like ``running_before``; a chunk's last row takes the first row of the next.
     """
-    rows = settle(df.withColumn("_chunk", chunk))
-    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    rows, plain = _settled_chunks(df, chunk, plain_rows)
     head = F.struct(*columns)
+    if plain:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return rows.select(
+            *df.columns,
+            *[F.lead(c).over(window).alias(f"next_{c}") for c in columns],
+            (F.row_number().over(window) == 1).alias("is_first"),
+        )
+
+    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     local = rows.withColumns({
         "_next": F.lead(head).over(in_chunk),
         "_row": F.row_number().over(in_chunk),

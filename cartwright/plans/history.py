@@ -7,8 +7,6 @@ which the user first meets it; the running total of these firsts is the distinct
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import col
 
@@ -30,30 +28,44 @@ def order_flags(facts: DataFrame) -> DataFrame:
     })
 
 
-def product_steps(facts: DataFrame, lines: DataFrame, products: DataFrame, categories) -> DataFrame:
-    """Per (user, order_number): product lines, lines per category and first encounters."""
-    bought = (
+def order_categories(lines: DataFrame, products: DataFrame, categories) -> DataFrame:
+    """Per order, its lines of known products and those of each category. Lines of one order lie
+    together in the source, so most of the aggregation happens before the shuffle."""
+    known = lines.select("order_id", "product_id").join(product_categories(products), "product_id")
+    return known.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("product_lines"),
+        *[F.count_if(col(attribute) == value).alias(f"lines_{name}") for name, attribute, value in categories],
+    )
+
+
+def first_meetings(facts: DataFrame, lines: DataFrame, products: DataFrame) -> DataFrame:
+    """Per (user, order_number), the products, departments and aisles bought for the first time.
+
+    The first order of a department is the first over its products' first orders, so only the
+    (user, product) minima are expanded to the three kinds.
+    """
+    met = (
         lines.select("order_id", "product_id")
         .join(facts.select("order_id", *STEP), "order_id")
-        .groupBy("user_id", "product_id", "order_number")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("user_id", "product_id")
+        .agg(F.min("order_number").alias("order_number"))
         .join(product_categories(products), "product_id")
     )
-    volumes = bought.groupBy(*STEP).agg(
-        F.sum("n").alias("product_lines"),
-        *[
-            F.sum(F.when(col(attribute) == value, col("n")).otherwise(0)).alias(f"lines_{name}")
-            for name, attribute, value in categories
-        ],
-    )
-    firsts = [
-        bought.groupBy("user_id", what)
+    kinds = ("department", "aisle")
+    shelf_firsts = (
+        met.select("user_id", "order_number", F.explode(F.array(*[
+            F.struct(F.lit(k).alias("kind"), col(k).alias("value")) for k in kinds
+        ])).alias("m"))
+        .groupBy("user_id", "m.kind", "m.value")
         .agg(F.min("order_number").alias("order_number"))
+        .select(*STEP, "kind")
+    )
+    return (
+        met.select(*STEP, F.lit("product").alias("kind"))
+        .unionByName(shelf_firsts)
         .groupBy(*STEP)
-        .agg(F.count(F.lit(1)).alias(f"new_{what}"))
-        for what in ("product_id", "department", "aisle")
-    ]
-    return reduce(lambda left, right: left.join(right, STEP, "left"), firsts, volumes)
+        .agg(*[F.count_if(col("kind") == k).alias(f"new_{k}") for k in ("product", *kinds)])
+    )
 
 
 def customer_day_number(facts: DataFrame, orders_per_chunk: int = ORDERS_PER_CHUNK) -> DataFrame:
@@ -69,6 +81,20 @@ def customer_day_number(facts: DataFrame, orders_per_chunk: int = ORDERS_PER_CHU
     return before.select(*STEP, "order_id", (col("days_before") + col("gap")).alias("customer_day_number"))
 
 
+def with_trailing_orders(timeline: DataFrame, days: int = 30) -> DataFrame:
+    """Add order_frequency_30d: the user's orders in the ``days`` days before the order's day.
+
+    Orders are counted per day first, so a frame holds at most one row per day however many
+    orders a user places; orders of the same day are not part of it.
+    """
+    per_day = timeline.groupBy("user_id", "customer_day_number").agg(F.count(F.lit(1)).alias("n"))
+    near = trailing_count(per_day, ["user_id"], "customer_day_number", "n", reach=days)
+    return timeline.join(
+        near.select("user_id", "customer_day_number", col("trailing").alias("order_frequency_30d")),
+        ["user_id", "customer_day_number"],
+    )
+
+
 def order_history(
     facts: DataFrame,
     lines: DataFrame,
@@ -81,14 +107,15 @@ def order_history(
     timeline = (
         order_flags(facts)
         .withColumn("gap", gap)
-        .join(product_steps(facts, lines, products, categories), STEP, "left")
+        .join(order_categories(lines, products, categories), "order_id", "left")
+        .join(first_meetings(facts, lines, products), STEP, "left")
     )
     shares = [name for name, _, _ in categories]
     before = running_before(
         timeline.select(
             "order_id", *STEP, "eval_set", "item_count", "gap", "order_dow", "order_hour_of_day",
             "is_weekend_order", "is_evening_order", "has_reordered_items", "reordered_item_count",
-            "product_lines", "new_product_id", "new_department", "new_aisle",
+            "product_lines", "new_product", "new_department", "new_aisle",
             *[f"lines_{name}" for name in shares],
         ),
         ["user_id"],
@@ -106,7 +133,7 @@ def order_history(
             "p_hour": col("order_hour_of_day"),
             "p_weekend": col("is_weekend_order"),
             "p_evening": col("is_evening_order"),
-            "p_products": col("new_product_id"),
+            "p_products": col("new_product"),
             "p_departments": col("new_department"),
             "p_aisles": col("new_aisle"),
             "p_lines": col("product_lines"),
@@ -114,17 +141,13 @@ def order_history(
         },
     )
     before = before.withColumn("customer_day_number", col("p_days") + col("gap"))
-    recent = trailing_count(
-        before.groupBy("user_id", "customer_day_number").agg(F.count(F.lit(1)).alias("n")),
-        ["user_id"], "customer_day_number", "n", reach=30,
-    )
 
     def ratio(top: str, bottom: str):
         return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
 
     n = col("p_orders")
     variance = (col("p_days_squared") - col("p_days") * col("p_days") / n) / (n - 1)
-    return before.join(recent, ["user_id", "customer_day_number"], "left").select(
+    return with_trailing_orders(before).select(
         "user_id",
         "order_id",
         "eval_set",
@@ -141,7 +164,7 @@ def order_history(
         ),
         col("gap").alias("days_since_last_order"),
         col("p_days").alias("customer_tenure_days"),
-        F.coalesce("trailing", F.lit(0)).alias("order_frequency_30d"),
+        "order_frequency_30d",
         ratio("p_dow", "p_orders").alias("avg_order_dow"),
         ratio("p_hour", "p_orders").alias("avg_order_hour_of_day"),
         ratio("p_weekend", "p_orders").alias("weekend_order_ratio"),

@@ -18,6 +18,7 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, root: str, categories=shop.SHOP_CATEGORIES):
         self.spark, self.root, self.categories = spark, root, categories
+        self._tables: dict[str, DataFrame] = {}
 
     def materialise(self, folder: str) -> Warehouse:
         for name in MATERIALISED:
@@ -27,22 +28,35 @@ class Warehouse:
         return self
 
     def raw(self, name: str) -> DataFrame:
-        return shop.table(self.spark, self.root, name)
+        """A source table; its schema is read once."""
+        if name not in self._tables:
+            self._tables[name] = shop.table(self.spark, self.root, name)
+        return self._tables[name]
+
+    @cached_property
+    def order_base(self) -> DataFrame:
+        return shop.order_base(self.raw("orders"))
+
+    @cached_property
+    def raw_products(self) -> DataFrame:
+        return shop.raw_products(self.raw("part"))
+
+    @cached_property
+    def raw_order_products(self) -> DataFrame:
+        return shop.raw_order_products(self.raw("lineitem"))
 
     @cached_property
     def stg_orders(self) -> DataFrame:
-        return staging.stg_orders(shop.raw_orders(self.spark, self.root))
+        return staging.stg_orders(shop.number_orders(self.order_base))
 
     @cached_property
     def stg_order_products(self) -> DataFrame:
-        return staging.stg_order_products(shop.raw_order_products(self.spark, self.root))
+        return staging.stg_order_products(self.raw_order_products)
 
     @cached_property
     def stg_products(self) -> DataFrame:
         return staging.stg_products(
-            shop.raw_products(self.spark, self.root),
-            shop.raw_aisles(self.spark, self.root),
-            shop.raw_departments(self.spark, self.root),
+            self.raw_products, shop.raw_aisles(self.raw("part")), shop.raw_departments(self.raw("part"))
         )
 
     @cached_property

@@ -16,9 +16,9 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
 
-def order_base(spark: SparkSession, root: str) -> DataFrame:
+def order_base(orders: DataFrame) -> DataFrame:
     """Orders without their position in the user's timeline: no shuffle."""
-    return table(spark, root, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("user_id"),
         F.when(F.col("o_orderstatus") == "F", "prior")
@@ -32,16 +32,26 @@ def order_base(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def raw_orders(spark: SparkSession, root: str, heavy_rows: int = HEAVY_GROUP_ROWS) -> DataFrame:
-    return number_orders(order_base(spark, root), heavy_rows)
-
-
 def number_orders(base: DataFrame, heavy_rows: int = HEAVY_GROUP_ROWS) -> DataFrame:
     """Add order_number and days_since_prior_order.
 
     Ordinary users are numbered in one task each. A user with too many orders is numbered per
-    day; the days' counts and last dates then tell where each day starts.
+    day; the days' counts and last dates then tell where each day starts. That way is planned
+    only where the table is large enough to hold such a user.
     """
+    wanted = ["order_id", "user_id", "eval_set", "order_number", "order_dow", "order_hour_of_day",
+              "days_since_prior_order", "order_date"]
+
+    def finish(df: DataFrame, number: Column, previous: Column) -> DataFrame:
+        gap = F.floor(F.datediff("order_date", previous) / 10).cast("double")
+        return df.withColumns(
+            {"order_number": number.cast("int"), "days_since_prior_order": gap}
+        ).select(*wanted)
+
+    if base.count() <= heavy_rows:
+        timeline = Window.partitionBy("user_id").orderBy("order_date", "order_id")
+        return finish(base, F.row_number().over(timeline), F.lag("order_date").over(timeline))
+
     heavy = heavy_keys(base, "user_id", heavy_rows).withColumn("_heavy", F.lit(True))
     marked = base.join(F.broadcast(heavy), "user_id", "left").withColumn(
         "_chunk", F.when(F.col("_heavy"), F.col("order_date")).otherwise(F.lit("1970-01-01").cast("date"))
@@ -51,7 +61,6 @@ def number_orders(base: DataFrame, heavy_rows: int = HEAVY_GROUP_ROWS) -> DataFr
         "_rank": F.row_number().over(local),
         "_previous": F.lag("order_date").over(local),
     })
-
     days = Window.partitionBy("user_id").orderBy("order_date")
     starts = (
         base.join(F.broadcast(heavy), "user_id", "left_semi")
@@ -64,21 +73,15 @@ def number_orders(base: DataFrame, heavy_rows: int = HEAVY_GROUP_ROWS) -> DataFr
             F.lag("order_date").over(days).alias("_last_day"),
         )
     )
-    gap = F.datediff("order_date", F.coalesce("_previous", "_last_day"))
-    return numbered.join(starts, ["user_id", "_chunk"], "left").select(
-        "order_id",
-        "user_id",
-        "eval_set",
-        (F.col("_rank") + F.coalesce("_offset", F.lit(0))).cast("int").alias("order_number"),
-        "order_dow",
-        "order_hour_of_day",
-        F.floor(gap / 10).cast("double").alias("days_since_prior_order"),
-        "order_date",
+    return finish(
+        numbered.join(starts, ["user_id", "_chunk"], "left"),
+        F.col("_rank") + F.coalesce("_offset", F.lit(0)),
+        F.coalesce("_previous", "_last_day"),
     )
 
 
-def raw_order_products(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "lineitem").select(
+def raw_order_products(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_linenumber").alias("add_to_cart_order"),
@@ -90,8 +93,8 @@ def _lookup_id(name: Column) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("int")
 
 
-def raw_products(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "part").select(
+def raw_products(part: DataFrame) -> DataFrame:
+    return part.select(
         F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("product_name"),
         _lookup_id(F.col("p_type")).alias("aisle_id"),
@@ -99,14 +102,14 @@ def raw_products(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def raw_aisles(spark: SparkSession, root: str) -> DataFrame:
-    part = table(spark, root, "part").select(F.col("p_type").alias("aisle")).distinct()
-    return part.select(_lookup_id(F.col("aisle")).alias("aisle_id"), "aisle")
+def raw_aisles(part: DataFrame) -> DataFrame:
+    names = part.select(F.col("p_type").alias("aisle")).distinct()
+    return names.select(_lookup_id(F.col("aisle")).alias("aisle_id"), "aisle")
 
 
-def raw_departments(spark: SparkSession, root: str) -> DataFrame:
-    part = table(spark, root, "part").select(F.col("p_brand").alias("department")).distinct()
-    return part.select(_lookup_id(F.col("department")).alias("department_id"), "department")
+def raw_departments(part: DataFrame) -> DataFrame:
+    names = part.select(F.col("p_brand").alias("department")).distinct()
+    return names.select(_lookup_id(F.col("department")).alias("department_id"), "department")
 
 
 # Category parameters that exist in these tables, in the shape of the default categories.
