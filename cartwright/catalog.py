@@ -310,7 +310,7 @@ def _history(w: Warehouse) -> DataFrame:
 
 @query("prior_window_features")
 def _(w):
-    return _history(w).select(
+    return history.order_history(w.fct_orders).select(
         "order_id", "total_orders", "observed_basket_orders", "avg_basket_size", "reorder_ratio",
         "prior_reorder_order_ratio", "days_between_orders", "stddev_days_between_orders",
         "customer_tenure_days", "avg_order_dow", "avg_order_hour_of_day", "weekend_order_ratio",

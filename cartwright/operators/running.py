@@ -8,7 +8,7 @@ The result is exact for any chunking that respects the order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from cartwright.session import settle
 
@@ -31,19 +31,13 @@ def heavy_keys(
 
 def _settled_chunks(df: DataFrame, chunk: Column, plain_rows: int | None) -> tuple[DataFrame, bool]:
     """Settle ``df`` with its chunk, and tell whether a plain window per group is safe: so few rows
-    that no group can be large, or a single chunk throughout. Both are measured while writing."""
-    seen = Observation()
-    rows = settle(
-        df.withColumn("_chunk", chunk).observe(
-            seen,
-            F.count(F.lit(1)).alias("rows"),
-            F.min("_chunk").alias("first"),
-            F.max("_chunk").alias("last"),
-        )
-    )
-    found = seen.get
+    that no group can be large, or a single chunk throughout."""
+    rows = settle(df.withColumn("_chunk", chunk))
+    size = rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.min("_chunk").alias("first"), F.max("_chunk").alias("last")
+    ).first()
     limit = HEAVY_GROUP_ROWS if plain_rows is None else plain_rows
-    return rows, found["rows"] <= limit or found["first"] == found["last"]
+    return rows, size.rows <= limit or size.first == size.last
 
 
 def running_before(
@@ -53,14 +47,17 @@ def running_before(
     chunk: Column,
     measures: dict[str, Column],
     plain_rows: int | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Add, per measure, its sum over all earlier rows of the same group (0 on the first row).
 
     ``chunk`` must not decrease along ``order`` and must be bounded in rows for the data at hand.
+    Of the input columns, those in ``keep`` stay (all by default).
     """
     names = list(measures)
+    kept = list(keep or df.columns)
     rows, plain = _settled_chunks(
-        df.withColumns({f"_m_{n}": F.coalesce(expr, F.lit(0)) for n, expr in measures.items()}),
+        df.select(*kept, *[F.coalesce(expr, F.lit(0)).alias(f"_m_{n}") for n, expr in measures.items()]),
         chunk,
         plain_rows,
     )
@@ -71,7 +68,7 @@ def running_before(
 
     if plain:
         window = Window.partitionBy(*keys).orderBy(*order)
-        return rows.withColumns(sums_before(window)).select(*df.columns, *names)
+        return rows.withColumns(sums_before(window)).select(*kept, *names)
 
     local = rows.withColumns(sums_before(Window.partitionBy(*keys, "_chunk").orderBy(*order)))
     chunks_before = (
@@ -94,7 +91,7 @@ def running_before(
     return (
         local.join(offsets, same_chunk, "left")
         .withColumns({n: F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in names})
-        .select(*df.columns, *names)
+        .select(*kept, *names)
     )
 
 

@@ -7,7 +7,7 @@ which the user first meets it; the running total of these firsts is the distinct
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import col
 
 from cartwright.functions import segments as seg
@@ -95,59 +95,64 @@ def with_trailing_orders(timeline: DataFrame, days: int = 30) -> DataFrame:
     )
 
 
+def order_measures() -> dict[str, Column]:
+    """Additive measures of one order."""
+    return {
+        "p_orders": F.lit(1),
+        "p_observed": (col("item_count") > 0).cast("int"),
+        "p_items": col("item_count"),
+        "p_reordered": col("reordered_item_count"),
+        "p_with_reorder": col("has_reordered_items"),
+        "p_days": col("gap"),
+        "p_days_squared": col("gap") * col("gap"),
+        "p_dow": col("order_dow"),
+        "p_hour": col("order_hour_of_day"),
+        "p_weekend": col("is_weekend_order"),
+        "p_evening": col("is_evening_order"),
+    }
+
+
+def product_measures(shares: list[str]) -> dict[str, Column]:
+    """Additive measures of the products in one order."""
+    return {
+        "p_products": col("new_product"),
+        "p_departments": col("new_department"),
+        "p_aisles": col("new_aisle"),
+        "p_lines": col("product_lines"),
+        **{f"p_{name}": col(f"lines_{name}") for name in shares},
+    }
+
+
 def order_history(
     facts: DataFrame,
-    lines: DataFrame,
-    products: DataFrame,
+    lines: DataFrame | None = None,
+    products: DataFrame | None = None,
     categories=DEFAULT_CATEGORIES,
     orders_per_chunk: int = ORDERS_PER_CHUNK,
 ) -> DataFrame:
-    """Every order with the features known before it and its label."""
-    gap = F.coalesce("days_since_prior_order", F.lit(0.0))
-    timeline = (
-        order_flags(facts)
-        .withColumn("gap", gap)
-        .join(order_categories(lines, products, categories), "order_id", "left")
-        .join(first_meetings(facts, lines, products), STEP, "left")
-    )
+    """Every order with the features known before it and its label; without ``lines``, the order
+    features only."""
     shares = [name for name, _, _ in categories]
+    timeline = order_flags(facts).withColumn("gap", F.coalesce("days_since_prior_order", F.lit(0.0)))
+    kept = ["order_id", *STEP, "eval_set", "item_count", "gap", "has_reordered_items"]
+    measures = order_measures()
+    if lines is not None:
+        timeline = timeline.join(order_categories(lines, products, categories), "order_id", "left").join(
+            first_meetings(facts, lines, products), STEP, "left"
+        )
+        measures |= product_measures(shares)
     before = running_before(
-        timeline.select(
-            "order_id", *STEP, "eval_set", "item_count", "gap", "order_dow", "order_hour_of_day",
-            "is_weekend_order", "is_evening_order", "has_reordered_items", "reordered_item_count",
-            "product_lines", "new_product", "new_department", "new_aisle",
-            *[f"lines_{name}" for name in shares],
-        ),
-        ["user_id"],
-        [col("order_number")],
-        F.floor(col("order_number") / orders_per_chunk),
-        {
-            "p_orders": F.lit(1),
-            "p_observed": (col("item_count") > 0).cast("int"),
-            "p_items": col("item_count"),
-            "p_reordered": col("reordered_item_count"),
-            "p_with_reorder": col("has_reordered_items"),
-            "p_days": col("gap"),
-            "p_days_squared": col("gap") * col("gap"),
-            "p_dow": col("order_dow"),
-            "p_hour": col("order_hour_of_day"),
-            "p_weekend": col("is_weekend_order"),
-            "p_evening": col("is_evening_order"),
-            "p_products": col("new_product"),
-            "p_departments": col("new_department"),
-            "p_aisles": col("new_aisle"),
-            "p_lines": col("product_lines"),
-            **{f"p_{name}": col(f"lines_{name}") for name in shares},
-        },
+        timeline, ["user_id"], [col("order_number")], F.floor(col("order_number") / orders_per_chunk), measures,
+        keep=kept,
     )
     before = before.withColumn("customer_day_number", col("p_days") + col("gap"))
 
-    def ratio(top: str, bottom: str):
+    def ratio(top: str, bottom: str) -> Column:
         return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
 
     n = col("p_orders")
     variance = (col("p_days_squared") - col("p_days") * col("p_days") / n) / (n - 1)
-    return with_trailing_orders(before).select(
+    features = [
         "user_id",
         "order_id",
         "eval_set",
@@ -169,12 +174,16 @@ def order_history(
         ratio("p_hour", "p_orders").alias("avg_order_hour_of_day"),
         ratio("p_weekend", "p_orders").alias("weekend_order_ratio"),
         ratio("p_evening", "p_orders").alias("evening_order_ratio"),
-        col("p_products").alias("unique_products"),
-        col("p_departments").alias("unique_departments"),
-        col("p_aisles").alias("unique_aisles"),
-        *[ratio(f"p_{name}", "p_lines").alias(name) for name in shares],
         col("has_reordered_items").alias(TARGET_COLUMN),
-    )
+    ]
+    if lines is not None:
+        features += [
+            col("p_products").alias("unique_products"),
+            col("p_departments").alias("unique_departments"),
+            col("p_aisles").alias("unique_aisles"),
+            *[ratio(f"p_{name}", "p_lines").alias(name) for name in shares],
+        ]
+    return with_trailing_orders(before).select(*features)
 
 
 def training_dataset(

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cartwright.functions import segments as seg
 from cartwright.schemas import DEFAULT_CATEGORIES
 
-ZERO = F.lit(0)
 
 
 def order_line_totals(lines: DataFrame) -> DataFrame:
@@ -23,8 +22,8 @@ def fct_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """One row per order; an order without lines has 0 items, which means unobserved."""
     return orders.join(order_line_totals(lines), "order_id", "left").select(
         *orders.columns,
-        F.coalesce("item_count", ZERO).alias("item_count"),
-        F.coalesce("reordered_item_count", ZERO).alias("reordered_item_count"),
+        F.coalesce("item_count", F.lit(0)).alias("item_count"),
+        F.coalesce("reordered_item_count", F.lit(0)).alias("reordered_item_count"),
         "first_cart_position",
         "last_cart_position",
     )
@@ -37,8 +36,8 @@ def dim_products(products: DataFrame, lines: DataFrame) -> DataFrame:
     )
     return products.join(totals, "product_id", "left").select(
         *products.columns,
-        F.coalesce("order_line_count", ZERO).alias("order_line_count"),
-        F.coalesce("reordered_line_count", ZERO).alias("reordered_line_count"),
+        F.coalesce("order_line_count", F.lit(0)).alias("order_line_count"),
+        F.coalesce("reordered_line_count", F.lit(0)).alias("reordered_line_count"),
     )
 
 
@@ -75,7 +74,7 @@ def dim_users(facts: DataFrame) -> DataFrame:
 
 def user_order_features(facts: DataFrame) -> DataFrame:
     gap = "days_since_prior_order"
-    basket = F.nullif(F.col("item_count"), ZERO)
+    basket = F.nullif(F.col("item_count"), F.lit(0))
     sums = facts.groupBy("user_id").agg(
         F.count_distinct("order_id").alias("total_orders"),
         F.count_if(F.col("item_count") > 0).alias("observed_basket_orders"),
@@ -172,7 +171,7 @@ def feature_store(
         "stddev_basket_size",
         "reorder_ratio",
         "reorder_order_ratio",
-        *[F.coalesce(c, ZERO).alias(c) for c in ("unique_products", "unique_departments", "unique_aisles")],
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("unique_products", "unique_departments", "unique_aisles")],
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in shares],
         "days_between_orders",
         "stddev_days_between_orders",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +14,6 @@ RECOMMENDED_CONF = {
     # A skewed join is split even where that costs one more exchange above it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -26,19 +26,33 @@ def build_session(app_name: str = "cartwright", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def _scratch(spark: SparkSession) -> str:
+    """This application's part of the shared folder ``spark.checkpoint.dir``; a local master without
+    that setting uses a temporary folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/cartwright-{context.applicationId}"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and continue from the files.
+    """Compute ``df`` once into a table of the shared scratch folder and continue from there.
 
-    For a result that feeds two branches of a plan: neither branch recomputes it, and a lost
-    executor costs a file read, not the lineage behind it. The folder is the session's
-    ``spark.checkpoint.dir``; a scratch folder is used only by a local master.
+    For a result that feeds several branches of a plan: none of them recomputes it, each reads
+    only its columns, its true size is known to the planner, and a lost executor costs a file
+    read, not the lineage behind it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="cartwright-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{_scratch(spark)}/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_settled(spark: SparkSession) -> None:
+    """Remove this application's settled tables, once no plan reads them any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from cartwright.schemas import RAW_FILES, RAW_SCHEMAS, RUN_HISTORY_SCHEMA
@@ -34,19 +34,25 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     ])
 
 
-def _write_counted(df: DataFrame, path: str, mode: str) -> int:
-    """Write and count in the same pass."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
-    return seen.get["rows"]
+def _stored_rows(spark: SparkSession, path: str) -> int:
+    """Counted from the file footers."""
+    try:
+        return spark.read.parquet(path).count()
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        return 0
 
 
 def load_replace(spark: SparkSession, path: str, table_path: str, schema: StructType | None = None) -> int:
-    return _write_counted(scan_csv(spark, path, schema), table_path, "overwrite")
+    scan_csv(spark, path, schema).write.mode("overwrite").parquet(table_path)
+    return _stored_rows(spark, table_path)
 
 
 def load_append(spark: SparkSession, path: str, table_path: str, schema: StructType | None = None) -> int:
-    return _write_counted(scan_csv(spark, path, schema), table_path, "append")
+    before = _stored_rows(spark, table_path)
+    scan_csv(spark, path, schema).write.mode("append").parquet(table_path)
+    return _stored_rows(spark, table_path) - before
 
 
 def load_dataset(spark: SparkSession, folder: str, warehouse: str) -> dict[str, int]:
