@@ -233,6 +233,23 @@ def _(w):
     return dq.orphan_rows(w.stg_order_products, cheap, "product_id", "raw_order_products", "product_id_valid")
 
 
+@query("inner_same_rel")
+def _(w):
+    return w.cohorts.select("cohort_order_number", "cohort_period", "cohort_size", "retention_rate")
+
+
+@query("left_join_features")
+def _(w):
+    return w.feature_store.select("user_id", "total_orders", "unique_products", "unique_departments", "unique_aisles")
+
+
+@query("composite_key_left")
+def _(w):
+    known = history.order_history(w.fct_orders).select("user_id", "order_id", "total_orders")
+    targets = w.stg_orders.where(col("eval_set") == "train").select("user_id", "order_id")
+    return targets.join(known.where("total_orders >= 1"), ["user_id", "order_id"], "left")
+
+
 @query("semi_in")
 def _(w):
     targets = w.fct_orders.where((col("eval_set") == "train") & (col("item_count") > 0)).select("order_id")
@@ -934,7 +951,9 @@ def event_messages(w: Warehouse) -> DataFrame:
         .when(k % 50 == 2, col("no_user"))
         .otherwise(col("whole"))
     )
-    return w.raw("events").select(whole.alias("whole"), no_user.alias("no_user"), k).select(message.alias("value"))
+    rendered = w.raw("events").select(whole.alias("whole"), no_user.alias("no_user"), k)
+    # A generator's output is not rendered again by the steps above it.
+    return rendered.select(F.explode_outer(F.array(message)).alias("value"))
 
 
 @query("parse_events")

@@ -31,9 +31,37 @@ def duplicate_keys(df: DataFrame, table_name: str, keys: list[str], check_name:
     )
 
 
-def duplicate_values(df: DataFrame, table_name: str, column: str) -> DataFrame:
-    """A declared unique test: like ``duplicate_keys``, but NULLs are left to the null check."""
-    return duplicate_keys(df.where(F.col(column).isNotNull()), table_name, [column], f"{column}_unique")
+def key_checks(
+    df: DataFrame,
+    table_name: str,
+    keys: list[str],
+    check_name: str,
+    required: list[str],
+    count_null_keys: bool = True,
+) -> DataFrame:
+    """Null checks and the unique check of one table in one pass.
+
+    Rows are combined per key map-side, with their null counts; the groups then give both. A
+    declared unique test leaves NULL keys to the null check (``count_null_keys=False``).
+    """
+    groups = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in required],
+    )
+    repeated = F.col("_n") > 1
+    if not count_null_keys:
+        for key in keys:
+            repeated = repeated & F.col(key).isNotNull()
+    names = [f"{c}_not_null" for c in required]
+    counts = groups.agg(
+        *[
+            F.coalesce(F.sum(f"_null_{c}"), F.lit(0)).alias(name) for c, name in zip(required, names)
+        ],
+        F.count_if(repeated).alias(check_name),
+    )
+    return counts.unpivot([], [*names, check_name], "check_name", "invalid_count").select(
+        F.lit(table_name).alias("table_name"), "check_name", "invalid_count"
+    )
 
 
 def orphan_rows(
@@ -50,17 +78,17 @@ def orphan_rows(
 
 
 def raw_checks(orders: DataFrame, products: DataFrame, lines: DataFrame) -> DataFrame:
-    """The eight checks of the raw tables."""
+    """The eight checks of the raw tables in four passes."""
     line_table = "raw_order_products"
     return reduce(
         DataFrame.unionByName,
         [
-            null_counts(orders, "raw_orders", ["order_id"]),
-            duplicate_keys(orders, "raw_orders", ["order_id"], "order_id_unique"),
-            null_counts(products, "raw_products", ["product_id"]),
-            duplicate_keys(products, "raw_products", ["product_id"], "product_id_unique"),
-            null_counts(lines, line_table, ["order_id", "product_id"]),
-            duplicate_keys(lines, line_table, ["order_id", "product_id"], "order_product_unique"),
+            key_checks(orders, "raw_orders", ["order_id"], "order_id_unique", ["order_id"]),
+            key_checks(products, "raw_products", ["product_id"], "product_id_unique", ["product_id"]),
+            key_checks(
+                lines, line_table, ["order_id", "product_id"], "order_product_unique",
+                ["order_id", "product_id"],
+            ),
             orphan_rows(lines, products, "product_id", line_table, "product_id_valid"),
         ],
     )
@@ -86,11 +114,12 @@ def quality_gate(checks: DataFrame) -> DataFrame:
 
 def model_constraints(tables: dict[str, DataFrame], constraints: dict) -> DataFrame:
     """Declared unique and not-null tests of all models as one report."""
-    parts = []
-    for name, (unique, required) in constraints.items():
-        parts.append(null_counts(tables[name], name, required))
-        if unique:
-            parts.append(duplicate_values(tables[name], name, unique))
+    parts = [
+        key_checks(tables[name], name, [unique], f"{unique}_unique", required, count_null_keys=False)
+        if unique
+        else null_counts(tables[name], name, required)
+        for name, (unique, required) in constraints.items()
+    ]
     return quality_report(reduce(DataFrame.unionByName, parts))
 
 

@@ -86,8 +86,11 @@ def with_class_weight(split: DataFrame) -> DataFrame:
     return split.withColumn("class_weight", F.try_divide(n, 2 * of_class))
 
 
-def candidate_models(seed: int = SEED, scale: float = 1.0) -> dict[str, Pipeline]:
-    """The three candidates. ``scale`` < 1 shrinks tree counts for quick runs."""
+def candidate_models(seed: int = SEED, scale: float = 1.0, train_rows: int = 0) -> dict[str, Pipeline]:
+    """The three candidates. ``scale`` < 1 shrinks tree counts for quick runs.
+
+    A unit L2 penalty on summed losses is 1 / rows of the mean loss that Spark minimises.
+    """
 
     def assemble(out: str = "features") -> VectorAssembler:
         return VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol=out)
@@ -105,7 +108,10 @@ def candidate_models(seed: int = SEED, scale: float = 1.0) -> dict[str, Pipeline
         "logistic_regression": Pipeline(stages=[
             assemble("raw_features"),
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-            LogisticRegression(maxIter=1000, regParam=0.0, weightCol="class_weight", standardization=False),
+            LogisticRegression(
+                maxIter=1000, regParam=1.0 / train_rows if train_rows else 0.0, weightCol="class_weight",
+                standardization=False,
+            ),
         ]),
         "gradient_boosting": Pipeline(stages=[
             assemble(),
@@ -122,17 +128,21 @@ def probability_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def fit_candidates(
-    rows: DataFrame, seed: int = SEED, scale: float = 1.0, names: tuple[str, ...] | None = None
+    rows: DataFrame,
+    seed: int = SEED,
+    scale: float = 1.0,
+    names: tuple[str, ...] | None = None,
+    key: str = "order_id",
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Fit the candidates on the train part; return them and the scored test rows of all.
 
     The split set is read once per boosting round, so it is settled before fitting.
     """
-    split = settle(with_class_weight(stratified_split(rows, seed=seed)))
+    split = settle(with_class_weight(stratified_split(rows, key=key, seed=seed)))
     train, test = split.where(~col("is_test")), split.where("is_test")
     models = {
         name: pipeline.fit(train)
-        for name, pipeline in candidate_models(seed, scale).items()
+        for name, pipeline in candidate_models(seed, scale, train.count()).items()
         if names is None or name in names
     }
     scored = [

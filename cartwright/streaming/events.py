@@ -20,16 +20,21 @@ def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     because after parsing a null and an absent field look the same.
     """
     text = col(value).cast("string")
-    valid = F.when(F.is_valid_utf8(text), text)
-    keys = F.json_object_keys(valid)
-    missing = F.array_except(F.array(*[F.lit(f) for f in REQUIRED_FIELDS]), keys)
-    reason = F.when(keys.isNull(), "Invalid JSON event").when(
-        F.size(missing) > 0, F.concat(F.lit("Missing required event fields: "), F.array_join(missing, ", "))
+    lacking = F.array_except(F.array(*[F.lit(f) for f in REQUIRED_FIELDS]), col("_keys"))
+    reason = F.when(col("_missing").isNull(), "Invalid JSON event").when(
+        F.size("_missing") > 0,
+        F.concat(F.lit("Missing required event fields: "), F.array_join("_missing", ", ")),
+    )
+    keys = F.json_object_keys(F.when(F.is_valid_utf8(text), text))
+    return (
+        # As a generator's output the keys are computed once: a filter on the reason is not pushed
+        # below it, which would parse every message again.
+        messages.select("*", F.explode_outer(F.array(keys)).alias("_keys"))
+        .withColumn("_missing", lacking)
+        .withColumn("reason", reason)
+        .withColumn("event", F.when(col("reason").isNull(), F.from_json(text, ORDER_EVENT_SCHEMA)))
+        .drop("_keys", "_missing")
     )
-    return messages.withColumns({
-        "reason": reason,
-        "event": F.when(reason.isNull(), F.from_json(valid, ORDER_EVENT_SCHEMA)),
-    })
 
 
 def good_events(parsed: DataFrame) -> DataFrame:

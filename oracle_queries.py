@@ -574,6 +574,14 @@ ORACLE: dict[str, str] = {
         "select f.user_id, f.total_orders, c.churn_probability, c.churn_risk_segment "
         "from feat f join churn c on c.user_id = f.user_id", "churn_probability"),
     "three_way_inner": _sql("select * from breadth", _SHARES),
+    "inner_same_rel": _sql(
+        "select cohort_order_number, cohort_period, cohort_size, retention_rate from cohorts", "retention_rate"),
+    "left_join_features": _sql(
+        "select user_id, total_orders, unique_products, unique_departments, unique_aisles from feat"),
+    "composite_key_left": _sql(
+        "select ord.user_id, ord.order_id, w.total_orders from ord left join windows w "
+        "on w.user_id = ord.user_id and w.order_id = ord.order_id and w.total_orders >= 1 "
+        "where ord.eval_set = 'train'"),
     "anti_orphan": """
         select 'raw_order_products' as table_name, 'product_id_valid' as check_name, count(*) as invalid_count
         from lineitem left join part on l_partkey = p_partkey and p_retailprice < 1000 where p_partkey is null""",

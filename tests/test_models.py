@@ -271,3 +271,25 @@ def test_question_categories_first_match_wins(spark):
     asked = ["Why is CHURN up in each cohort?", "rétention par client", "Top product?", "commande", "hello"]
     df = spark.createDataFrame([(q,) for q in asked], "q string").select(text.question_category(F.col("q")))
     assert [r[0] for r in df.collect()] == ["churn", "retention", "top_products", "customer_behavior", "general"]
+
+
+def test_two_training_runs_leave_a_history(spark, tmp_path):
+    from cartwright.plans.training_run import train_and_record
+
+    rows = matrix_rows(spark)
+    first = train_and_record(rows, str(tmp_path), scale=0.03, now=datetime(2024, 5, 1))
+    assert first["comparison"].count() == 3 and first["importance"].count() == len(FEATURE_COLUMNS)
+    second = train_and_record(rows, str(tmp_path), scale=0.03, now=datetime(2024, 5, 2))
+    record = second["record"].first()
+    assert json.loads(record.drift_report)["status"] == "stable" and record.train_rows + record.test_rows == 240
+    runs = files.read_runs(spark, str(tmp_path / "runs"))
+    assert [json.loads(r.drift_report)["status"] for r in runs.collect()] == ["baseline", "stable"]
+    assert mon.drift_summary(runs).first().run_count == 2
+    scores = tr.batch_score(tr.load_model(str(tmp_path / "model")), tr.training_matrix(rows))
+    assert scores.count() == 240
+
+
+def test_user_level_table_can_be_trained_on(spark):
+    rows = tr.training_matrix(matrix_rows(spark).withColumnRenamed("order_id", "user_id").drop("days_since_last_order"))
+    _, scores = tr.fit_candidates(rows, names=("logistic_regression",), key="user_id")
+    assert scores.count() in (48, 49)
