@@ -223,7 +223,7 @@ def _(w):
 
 @query("three_way_inner")
 def _(w):
-    return marts.user_product_features(w.fct_orders, w.stg_order_products, w.stg_products, w.categories)
+    return marts.user_product_features(w.fct_orders, w.stg_order_products, w.shelves, w.categories)
 
 
 @query("anti_orphan")
@@ -322,7 +322,7 @@ def _(w):
 
 
 def _history(w: Warehouse) -> DataFrame:
-    return history.order_history(w.fct_orders, w.stg_order_products, w.stg_products, w.categories)
+    return history.order_history(w.stored_facts, w.stg_order_products, w.shelves, w.categories)
 
 
 @query("prior_window_features")
@@ -613,7 +613,7 @@ def _(w):
 @query("training_sort_limit")
 def _(w):
     rows = history.training_dataset(
-        w.fct_orders, w.stg_order_products, w.stg_products, w.categories, row_limit=250_000
+        w.stored_facts, w.stg_order_products, w.shelves, w.categories, row_limit=250_000
     )
     return rows.select("user_id", "order_id", "order_number", "will_reorder")
 

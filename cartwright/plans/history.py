@@ -51,20 +51,17 @@ def first_meetings(facts: DataFrame, lines: DataFrame, products: DataFrame) -> D
         .agg(F.min("order_number").alias("order_number"))
         .join(product_categories(products), "product_id")
     )
-    kinds = ("department", "aisle")
-    shelf_firsts = (
-        met.select("user_id", "order_number", F.explode(F.array(*[
-            F.struct(F.lit(k).alias("kind"), col(k).alias("value")) for k in kinds
-        ])).alias("m"))
+    kinds = {"product": "product_id", "department": "department", "aisle": "aisle"}
+    named = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), col(name).cast("string").alias("value"))
+        for kind, name in kinds.items()
+    ])
+    return (
+        met.select(*STEP, F.explode(named).alias("m"))
         .groupBy("user_id", "m.kind", "m.value")
         .agg(F.min("order_number").alias("order_number"))
-        .select(*STEP, "kind")
-    )
-    return (
-        met.select(*STEP, F.lit("product").alias("kind"))
-        .unionByName(shelf_firsts)
         .groupBy(*STEP)
-        .agg(*[F.count_if(col("kind") == k).alias(f"new_{k}") for k in ("product", *kinds)])
+        .agg(*[F.count_if(col("kind") == kind).alias(f"new_{kind}") for kind in kinds])
     )
 
 

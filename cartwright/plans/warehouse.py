@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartwright.plans import marts, staging
 from cartwright.plans.history import training_dataset
+from cartwright.session import settle
 from cartwright.sources import shop
 
 MATERIALISED = ("fct_orders", "dim_products", "feature_store")
@@ -19,12 +20,14 @@ class Warehouse:
     def __init__(self, spark: SparkSession, root: str, categories=shop.SHOP_CATEGORIES):
         self.spark, self.root, self.categories = spark, root, categories
         self._tables: dict[str, DataFrame] = {}
+        self._stored: set[str] = set()
 
     def materialise(self, folder: str) -> Warehouse:
         for name in MATERIALISED:
             path = f"{folder}/{name}"
             getattr(self, name).write.mode("overwrite").parquet(path)
             self.__dict__[name] = self.spark.read.parquet(path)
+            self._stored.add(name)
         return self
 
     def raw(self, name: str) -> DataFrame:
@@ -67,6 +70,17 @@ class Warehouse:
     def fct_orders(self) -> DataFrame:
         return marts.fct_orders(self.stg_orders, self.stg_order_products)
 
+    @cached_property
+    def stored_facts(self) -> DataFrame:
+        """The order fact as a table, for plans that read it several times."""
+        return self.fct_orders if "fct_orders" in self._stored else settle(self.fct_orders)
+
+    @cached_property
+    def shelves(self) -> DataFrame:
+        """Product attributes as a table: its file size tells the planner whether to broadcast it, so
+        the lines are not shuffled by product first to find out."""
+        return settle(marts.product_categories(self.stg_products))
+
     @cached_property
     def dim_products(self) -> DataFrame:
         return marts.dim_products(self.stg_products, self.stg_order_products)
@@ -77,9 +91,7 @@ class Warehouse:
 
     @cached_property
     def feature_store(self) -> DataFrame:
-        return marts.feature_store(
-            self.fct_orders, self.stg_order_products, self.stg_products, self.categories
-        )
+        return marts.feature_store(self.fct_orders, self.stg_order_products, self.shelves, self.categories)
 
     @cached_property
     def churn(self) -> DataFrame:
@@ -95,11 +107,11 @@ class Warehouse:
 
     @cached_property
     def training(self) -> DataFrame:
-        return training_dataset(self.fct_orders, self.stg_order_products, self.stg_products, self.categories)
+        return training_dataset(self.stored_facts, self.stg_order_products, self.shelves, self.categories)
 
     @cached_property
     def scored(self) -> DataFrame:
         """Target orders with a deterministic score in [0, 1]: the prior reorder ratio."""
-        return self.training.select(
+        return settle(self.training.select(
             "user_id", "order_id", F.col("will_reorder").alias("label"), F.col("reorder_ratio").alias("score")
-        )
+        ))
