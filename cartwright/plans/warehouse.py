@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cartwright.operators.running import HEAVY_GROUP_ROWS
 from cartwright.plans import marts, staging
 from cartwright.plans.history import training_dataset
 from cartwright.session import settle
@@ -70,16 +71,22 @@ class Warehouse:
     def fct_orders(self) -> DataFrame:
         return marts.fct_orders(self.stg_orders, self.stg_order_products)
 
+    @cached_property
+    def small(self) -> bool:
+        """Whether so few orders exist that computing a part twice is cheaper than storing it."""
+        return self.order_base.count() <= HEAVY_GROUP_ROWS
+
     @cached_property
     def stored_facts(self) -> DataFrame:
         """The order fact as a table, for plans that read it several times."""
-        return self.fct_orders if "fct_orders" in self._stored else settle(self.fct_orders)
+        return self.fct_orders if self.small or "fct_orders" in self._stored else settle(self.fct_orders)
 
     @cached_property
     def shelves(self) -> DataFrame:
         """Product attributes as a table: its file size tells the planner whether to broadcast it, so
         the lines are not shuffled by product first to find out."""
-        return settle(marts.product_categories(self.stg_products))
+        attributes = marts.product_categories(self.stg_products)
+        return attributes if self.small else settle(attributes)
 
     @cached_property
     def dim_products(self) -> DataFrame:
