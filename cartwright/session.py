@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +30,12 @@ def build_session(app_name: str = "cartwright", master: str | None = None, **con
 
 
 def _scratch(spark: SparkSession) -> str:
-    """This application's part of the shared folder ``spark.checkpoint.dir``; a local master without
-    that setting uses a temporary folder."""
+    """This application's part of the shared folder ``spark.checkpoint.dir``; without that setting a
+    folder under the warehouse, which all executors see under every master."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        folder = tempfile.gettempdir()
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{folder.rstrip('/')}/cartwright-{context.applicationId}"
 
 
