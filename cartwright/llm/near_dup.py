@@ -14,7 +14,7 @@ some block of rows, so blocks propose candidates and a second pass counts them.
 
 Large groups: a bucket of few texts compares all pairs. In a larger one the most central text (that whose
 buckets are largest) is compared with all others; while a bucket still holds several classes, further
-texts, twice as many each round, meet the members of other classes only. A pair is verified by its
+texts, eight times as many each round, meet the members of other classes only. A pair is verified by its
 texts only if at least ``AGREE`` of its samples agree, which a pair at the threshold misses about once in
 10^5 times. So no group is expanded into all its pairs and none is cut off.
 
@@ -236,8 +236,10 @@ def _components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("body").alias("b"), "root"), "b").groupBy(F.col("a").alias("body")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "body").select("body", F.least("root", "near").alias("low"), F.col("root").alias("was"))
+        # The root of the root, and the root of that: long chains shrink to a quarter each time.
         jump = labels.select(F.col("body").alias("low"), F.col("root").alias("far"))
-        stepped = settle(lower.join(jump, "low").select("body", F.least("low", "far").alias("root"), "was"))
+        far = lower.join(jump, "low").select("body", F.col("far").alias("low"), "was").join(jump, "low")
+        stepped = settle(far.select("body", F.col("far").alias("root"), "was"))
         labels = stepped.select("body", "root")
         if stepped.where("root != was").isEmpty():
             return labels
@@ -293,25 +295,29 @@ def links(docs: DataFrame, known: Frequencies | None = None) -> tuple[DataFrame,
     candidates = settle(_agreeing(pairs.unionByName(stars), distinct))
     found = settle(_similar(candidates, _bodies(source, distinct, candidates), known))
 
-    done, more = 1, 1
+    done, more = 1, 15
+    roots = _components(found)
     while True:
         # Buckets above the small size that still hold several classes.
-        placed = many.join(_components(found), "body", "left").withColumn("root", F.coalesce("root", "body"))
+        placed = many.join(roots, "body", "left").withColumn("root", F.coalesce("root", "body"))
         mixed = placed.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
         mixed = mixed.where("lo != hi").select("band", "h")
         rows = settle(placed.join(mixed, ["band", "h"]).where(F.col("size") > done + 1))
         if rows.isEmpty():
             return distinct, found
-        # Their next most central texts; a bucket of n texts is through after log2(n) rounds.
+        # Their next most central texts; a bucket of n texts is through after about log8(n / 2) rounds.
         rank = F.row_number().over(Window.partitionBy("band", "h").orderBy("order"))
         heads = rows.withColumn("rank", rank).where(F.col("rank") <= done + more).where(F.col("rank") > done)
         met = side(heads, "a", "root").join(side(rows, "b", "root"), ["band", "h"])
         pairs = met.where("order_a < order_b and root_a != root_b")
         fresh = settle(_agreeing(pairs, distinct).join(candidates, ["a", "b"], "left_anti"))
-        done, more = done + more, more * 2
+        done, more = done + more, more * 8
         if not fresh.isEmpty():
             candidates = settle(candidates.unionByName(fresh))
-            found = settle(found.unionByName(_similar(fresh, _bodies(source, distinct, fresh), known)))
+            linked = settle(_similar(fresh, _bodies(source, distinct, fresh), known))
+            if not linked.isEmpty():
+                found = settle(found.unionByName(linked))
+                roots = _components(found)
 
 
 def class_table(docs: DataFrame) -> DataFrame:
