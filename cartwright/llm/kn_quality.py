@@ -3,6 +3,8 @@
 Per language, a model of character n-grams (``ORDER`` characters, white space as one kind) is trained on all
 trusted text: documents labelled as good and not toxic. Counts are summed by grouped jobs; counts of lower
 orders are numbers of different left neighbours; each order has three discounts from its counts of counts.
+Documents are dealt into two halves by hash, and each is scored by the model of the other half's trusted text: so
+no document, and no threshold, rests on a model that has seen it.
 
 Scoring never joins positions. Blocks of rows list their different n-grams; the different n-grams of all blocks
 join with the sharded count tables of all orders and get their probability; those are then handed back. Up to
@@ -212,12 +214,15 @@ def judged(docs: DataFrame, labels: DataFrame, most_sent: int = MOST_SENT) -> Da
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("good")).distinct()
     base = docs.select("doc_id", _language(docs).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = base.join(good, F.col("doc_id") == F.col("good"), "left").withColumn("trusted", F.col("good").isNotNull())
-    rows = rows.select("doc_id", "lang", "trusted", "text")
-    tables = model(rows.where("trusted"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    rows = rows.select("doc_id", F.concat(half.cast("string"), "lang").alias("lang"), "trusted", "text")
+    other = F.concat(F.when(F.col("lang").startswith("0"), "1").otherwise("0"), F.substring("lang", 2, 1 << 30))
+    tables = model(rows.where("trusted").withColumn("lang", other))
     wanted = _per_block(rows, False).select("lang", "g").distinct()
     known = settle(probabilities(wanted, tables))
     small = known.count() <= most_sent
-    scored = settle(_scored(rows, known) if small else by_blocks(rows, known, docs.count()))
+    scored = _scored(rows, known) if small else by_blocks(rows, known, docs.count())
+    scored = settle(scored.withColumn("lang", F.substring("lang", 2, 1 << 30)))
     limits = scored.where("trusted and perplexity is not null").groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10000)).alias("threshold"))
     both = scored.join(F.broadcast(limits), "lang", "left")  # one row per language
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
