@@ -3,7 +3,7 @@
 A run is a sequence of consecutive lines with at least ``MIN_WORDS`` words. Windows are shortest runs: for
 every line the one that starts there and the one that ends there. Each window selects its least line hash
 as fingerprint, so two equal runs, wherever they stand, hold windows with the same fingerprint: none can
-be missed. Fingerprints that occur at one position only are dropped; for the others the window is compared
+be missed. Fingerprints of a single window are dropped; for the others the window is compared
 as a whole with its first occurrence, and windows that overlap extend a match in both directions. Every line
 of a run that occurred before is deleted.
 
@@ -78,9 +78,9 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     backward = backward.where(F.col("n") < min_words).drop("n")
     windows = settle(forward.unionByName(backward).where(F.col("stop") - F.col("start") >= min_words).distinct())
 
-    # Fingerprints at more than one position.
+    # Fingerprints of more than one window.
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "body", "start", "stop")
-    marks = windows.groupBy("mark").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("mark")
+    marks = windows.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark")
     shared = windows.join(marks, "mark")
     first = shared.groupBy("content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     later = shared.join(first, "content").where(
@@ -103,7 +103,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the repeated runs, and without documents that lose all words. An n_chars column
     is recounted."""
-    gone = settle(removed_lines(docs, min_words))
+    gone = settle(removed_lines(docs, min_words)).hint("merge")  # grows with the documents: one plan for every size
     marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64(_raw(F.col("text"))).alias("_body"))
     both = marked.join(gone, marked["_id"].eqNullSafe(gone["doc_id"]) & (marked["_body"] == gone["body"]), "left")
     kept = both.where(F.col("lines").isNull() | (F.col("words") < F.col("total")))
@@ -123,7 +123,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def line_report(docs: DataFrame) -> DataFrame:
     """Per document: its lines with words, the deleted ones as a list of numbers, the deleted words, and
     the digest of the remaining text's lines with words."""
-    gone = settle(removed_lines(docs))
+    gone = settle(removed_lines(docs)).hint("merge")
     base = docs.select("doc_id", F.xxhash64(_raw(F.col("text"))).alias("body"), _raw(F.col("text")).alias("text"))
     both = base.join(gone, base["doc_id"].eqNullSafe(gone["doc_id"]) & (base["body"] == gone["body"]), "left")
     nothing = F.array().cast("array<int>")
