@@ -13,10 +13,12 @@ document, whatever the corpus holds. They are found exactly: a shingle that freq
 some block of rows, so blocks propose candidates and a second pass counts them.
 
 Large groups: a bucket of few texts compares all pairs. In a larger one the most central text (that whose
-buckets are largest) is compared with all others; while a bucket still holds several classes, further
-texts, eight times as many each round, meet the members of other classes only. A pair is verified by its
-texts only if at least ``AGREE`` of its samples agree, which a pair at the threshold misses about once in
-10^5 times. So no group is expanded into all its pairs and none is cut off.
+buckets are largest) is compared with all others. Such a pair is verified by its texts only if at least
+``AGREE`` of its samples agree, which a pair at the threshold misses about once in 10^5 times. A bucket that then
+still holds several classes is cut into blocks of about ``BLOCK`` texts, large classes by themselves, and blocks
+meet in pairs unless both are of one class: a matrix product gives the exact similarities of two
+blocks, and only a spanning set of their links comes out. So one large class costs no more than its members,
+rows grow with pairs of blocks and not of texts, and nothing is cut off.
 
 Edge cases: words are runs of digits, letters (A-Z as a-z) and characters outside ASCII; a text of one to
 four words is one shingle; texts without words (null, empty, only signs) are classes of their own.
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.session import settle
@@ -49,6 +51,8 @@ SHARE = 0.005
 IDF_WEIGHT = 0.5
 #: Buckets up to this size compare all pairs.
 SMALL = 8
+#: Texts and shingles of a block, about.
+BLOCK, BLOCK_SHINGLES = 256, 200_000
 #: Most candidates of the frequency count that are sent to every task; beyond it all shingles are counted.
 CANDIDATES = 2_000_000
 
@@ -183,21 +187,20 @@ def frequencies(docs: DataFrame) -> Frequencies:
 
 
 def _signatures(docs: DataFrame, known: Frequencies) -> DataFrame:
-    """doc_id, body (digest of the text), words, and the samples as ``sig`` (32-bit hashes)."""
+    """doc_id, body (digest of the text), number of shingles, and the samples as ``sig`` (32-bit hashes)."""
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             text, hashes, repeats = shingles(encoded(batch))
             drawn_samples = samples(text, hashes, known.weights(hashes, repeats), batch.num_rows)
-            has = np.zeros(batch.num_rows, bool)
-            has[text] = True
+            made = pa.array(np.bincount(text, minlength=batch.num_rows))
             flat = pa.array((drawn_samples >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel())
             offsets = pa.array(np.arange(0, len(flat) + 1, SAMPLES, dtype=np.int32))
             sig = pa.ListArray.from_arrays(offsets, flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), pa.array(has), sig], names=["doc_id", "body", "has", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), made, sig], names=["doc_id", "body", "shingles", "sig"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "body", "text")
-    return rows.mapInArrow(sample, f"doc_id {id_type}, body string, has boolean, sig array<int>")
+    return rows.mapInArrow(sample, f"doc_id {id_type}, body string, shingles long, sig array<int>")
 
 
 def _with_body(docs: DataFrame) -> DataFrame:
@@ -224,107 +227,168 @@ def _similar(pairs: DataFrame, bodies: DataFrame, known: Frequencies) -> DataFra
                 keep = pa.array(common >= (THRESHOLD - 1e-9) * union)
                 yield batch.select(["a", "b"]).filter(keep)
 
-    left = bodies.select(F.col("body").alias("a"), F.col("text").alias("text_a"))
-    right = bodies.select(F.col("body").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a string, b string")
+    left = bodies.select(F.col("body").alias("body_a"), F.col("text").alias("text_a"))
+    right = bodies.select(F.col("body").alias("body_b"), F.col("text").alias("text_b"))
+    pairs = pairs.withColumns({"body_a": _body("a"), "body_b": _body("b")})
+    return pairs.join(right, "body_b").join(left, "body_a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a string, b string")
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """body, root: the least body of everything connected with it; for all bodies in a link."""
-    both = settle(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("body")).agg(F.min("b").alias("m")).select("body", F.least("body", "m").alias("root")))
+def _components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """node, root: the least node connected with it; for all nodes in a link. ``start``: the same of some of the links."""
+    both = settle(links.select("a", "b").union(links.select("b", "a")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
+    if start is not None:
+        before = start.select("node", F.col("root").alias("before"))
+        labels = labels.join(before, "node", "left").select("node", F.least("root", "before").alias("root"))
+    labels = settle(labels)
     while True:
-        near = both.join(labels.select(F.col("body").alias("b"), "root"), "b").groupBy(F.col("a").alias("body")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "body").select("body", F.least("root", "near").alias("low"), F.col("root").alias("was"))
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        lower = labels.join(near, "node").select("node", F.least("root", "near").alias("low"), F.col("root").alias("was"))
         # The root of the root, and the root of that: long chains shrink to a quarter each time.
-        jump = labels.select(F.col("body").alias("low"), F.col("root").alias("far"))
-        far = lower.join(jump, "low").select("body", F.col("far").alias("low"), "was").join(jump, "low")
-        stepped = settle(far.select("body", F.col("far").alias("root"), "was"))
-        labels = stepped.select("body", "root")
+        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
+        far = lower.join(jump, "low").select("node", F.col("far").alias("low"), "was").join(jump, "low")
+        stepped = settle(far.select("node", F.col("far").alias("root"), "was"))
+        labels = stepped.select("node", "root")
         if stepped.where("root != was").isEmpty():
             return labels
 
 
+def _body(name: str) -> Column:
+    """The body within a node: nodes are bodies behind their centrality, so that the most central comes first."""
+    return F.right(F.col(name), F.lit(32))
+
+
 def _agreeing(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     """The pairs (a, b) with enough equal samples, each once."""
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    left = distinct.select(F.col("body").alias("a"), F.col("sig").alias("sig_a"))
-    right = distinct.select(F.col("body").alias("b"), F.col("sig").alias("sig_b"))
-    pairs = pairs.select("a", "b").distinct()
-    return pairs.join(right, "b").join(left, "a").where(same >= AGREE).select("a", "b")
+    left = distinct.select(F.col("body").alias("body_a"), F.col("sig").alias("sig_a"))
+    right = distinct.select(F.col("body").alias("body_b"), F.col("sig").alias("sig_b"))
+    pairs = pairs.select("a", "b").distinct().withColumns({"body_a": _body("a"), "body_b": _body("b")})
+    return pairs.join(right, "body_b").join(left, "body_a").where(same >= AGREE).select("a", "b")
 
 
 def _bodies(source: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
     """body, text of all texts in the pairs: of equal texts, one."""
-    wanted = pairs.select(F.col("a").alias("body")).union(pairs.select("b")).distinct()
+    wanted = pairs.select(_body("a").alias("body")).union(pairs.select(_body("b"))).distinct()
     wanted = wanted.join(distinct.select("body", "doc_id"), "body")
     same_row = [source["body"] == wanted["body"], source["doc_id"].eqNullSafe(wanted["doc_id"])]
     return settle(source.join(wanted, same_row, "left_semi").select("body", "text").dropDuplicates(["body"]))
 
 
-def links(docs: DataFrame, known: Frequencies | None = None) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts (body, doc_id = the least, copies) and verified links (a, b) between them: enough of
-    them to connect every class."""
+def _spanning(table: pa.Table, known: Frequencies) -> pa.Table:
+    """Links that connect what similar pairs between side 0 and side 1 (side 0 and itself, if alone) connect."""
+    names = np.array(table.column("order").to_pylist(), object)
+    by_name = np.argsort(names)
+    names, side = names[by_name], table.column("side").to_numpy()[by_name]
+    texts = encoded(table)
+    text, hashes, repeats = shingles([texts[i] for i in by_name])
+    # Every further occurrence of a shingle is a feature of its own, so common weight is a product of 0/1 rows.
+    owner, shingle = np.repeat(text, repeats), np.repeat(hashes, repeats)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(repeats) - repeats, repeats)
+    weight = known.weights(shingle, np.ones(len(shingle)))
+    n = len(names)
+    total = np.bincount(owner, weight, n)
+    _, feature, held = np.unique(mix(shingle + (nth.astype(np.uint64) << np.uint64(52))), return_inverse=True, return_counts=True)
+    number = np.cumsum(held > 1) - 1
+    shared = held[feature] > 1
+    owner, weight, feature = owner[shared], weight[shared], number[feature[shared]]
+    by_feature = np.argsort(feature, kind="stable")
+    owner, weight, feature = owner[by_feature], weight[by_feature], feature[by_feature]
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1) if (side == 1).any() else a
+    common = np.zeros((len(a), len(b)))
+    width = 4096
+    for low in range(0, int(feature[-1]) + 1 if len(feature) else 0, width):
+        part = slice(*np.searchsorted(feature, [low, low + width]))
+        has, weighs = np.zeros((n, width)), np.zeros(width)
+        has[owner[part], feature[part] - low] = 1
+        weighs[feature[part] - low] = weight[part]
+        common += (has[a] * weighs) @ has[b].T
+    linked = np.eye(n, dtype=bool)
+    linked[np.ix_(a, b)] |= common >= (THRESHOLD - 1e-9) * (total[a][:, None] + total[b][None, :] - common)
+    linked |= linked.T
+    label = np.arange(n)
+    while True:
+        lower = np.where(linked, label[None, :], n).min(axis=1)
+        if (lower == label).all():
+            break
+        label = lower
+    rest = np.flatnonzero(label != np.arange(n))
+    return pa.table({"a": pa.array(names[label[rest]], pa.string()), "b": pa.array(names[rest], pa.string())})
+
+
+def _across(rows: DataFrame, bodies: DataFrame, known: Frequencies) -> DataFrame:
+    """Links (a, b) that connect what similar texts of different classes in one bucket connect. ``rows``: band, h, order, root, shingles."""
+    bucket = ["band", "h"]
+    size = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("s")]
+    groups = rows.groupBy(*bucket, "root").agg(*sums).withColumn("own", size)
+    small = groups.where("own = 1").groupBy(*bucket).agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select(*bucket, size.alias("shared"))
+    groups = groups.drop("n", "s").join(small, bucket, "left")
+    by_itself = F.concat_ws(":", "root", F.pmod(F.xxhash64("order"), "own"))
+    block = F.when(F.col("own") > 1, by_itself).otherwise(F.pmod(F.xxhash64("root"), "shared").cast("string"))
+    of_class = F.when(F.col("own") > 1, F.col("root"))
+    placed = settle(rows.join(groups, [*bucket, "root"]).select(*bucket, "order", block.alias("block"), of_class.alias("of")))
+    blocks_ = placed.select(*bucket, "block", "of").distinct()
+    one = blocks_.withColumnsRenamed({"block": "block_a", "of": "of_a"})
+    other = blocks_.withColumnsRenamed({"block": "block_b", "of": "of_b"})
+    meet = one.join(other, bucket).where("block_a <= block_b and not coalesce(of_a = of_b, false)")
+    meet = settle(meet.select(*bucket, "block_a", "block_b"))
+    texts = placed.select(*bucket, "block", "order", _body("order").alias("body")).join(bodies, "body").drop("body")
+    left = meet.join(texts.withColumnRenamed("block", "block_a"), [*bucket, "block_a"]).withColumn("side", F.lit(0))
+    right = meet.where("block_a < block_b").join(texts.withColumnRenamed("block", "block_b"), [*bucket, "block_b"]).withColumn("side", F.lit(1))
+    both = left.unionByName(right).groupBy(*bucket, "block_a", "block_b")
+    return both.applyInArrow(lambda table: _spanning(table, known), "a string, b string").distinct()
+
+
+def connected(docs: DataFrame, known: Frequencies | None = None) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts (body, doc_id = the least, copies) and the classes (body, root) of those in a verified link."""
     ship(docs.sparkSession)
     source = _with_body(docs)
     known = known or frequencies(source)
     signed = _signatures(source, known)
-    per_text = [F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("has").alias("has"), F.first("sig").alias("sig")]
+    per_text = [F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("shingles").alias("shingles"), F.first("sig").alias("sig")]
     distinct = settle(signed.groupBy("body").agg(*per_text))
 
     # Buckets with more than one text.
     bands = F.array(*[
         F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sig", b * ROWS + 1, ROWS)).alias("h")) for b in range(BANDS)
     ])
-    rows = distinct.where("has").select("body", F.explode(bands).alias("x")).select("body", "x.band", "x.h")
+    rows = distinct.where("shingles > 0").select("body", "shingles", F.explode(bands).alias("x")).select("body", "shingles", "x.*")
     sizes = rows.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = settle(rows.join(sizes, ["band", "h"]))
     weight = members.groupBy("body").agg(F.sum("size").alias("central"))
-    order = F.struct((-F.col("central")).alias("c"), "body")
+    order = F.concat(F.lpad((F.lit(10**15) - F.col("central")).cast("string"), 16, "0"), "body")
     ranked = settle(members.join(weight, "body").withColumn("order", order).drop("central"))
 
     def side(frame: DataFrame, name: str, *more: str) -> DataFrame:
         renamed = [F.col(c).alias(f"{c}_{name}") for c in ("order", *more)]
-        return frame.select("band", "h", F.col("body").alias(name), *renamed)
+        return frame.select("band", "h", *renamed)
 
     few, many = ranked.where(F.col("size") <= SMALL), ranked.where(F.col("size") > SMALL)
-    pairs = side(few, "a").join(side(few, "b"), ["band", "h"]).where("order_a < order_b").select("a", "b")
+    pairs = side(few, "a").join(side(few, "b"), ["band", "h"]).where("order_a < order_b").selectExpr("order_a a", "order_b b")
     first = many.groupBy("band", "h").agg(F.min("order").alias("order"))
     heads = many.join(first, ["band", "h", "order"])
-    stars = side(heads, "a").join(side(many, "b"), ["band", "h"]).where("order_a < order_b").select("a", "b")
+    stars = side(heads, "a").join(side(many, "b"), ["band", "h"]).where("order_a < order_b").selectExpr("order_a a", "order_b b")
     candidates = settle(_agreeing(pairs.unionByName(stars), distinct))
     found = settle(_similar(candidates, _bodies(source, distinct, candidates), known))
 
-    done, more = 1, 15
     roots = _components(found)
-    while True:
-        # Buckets above the small size that still hold several classes.
-        placed = many.join(roots, "body", "left").withColumn("root", F.coalesce("root", "body"))
-        mixed = placed.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        mixed = mixed.where("lo != hi").select("band", "h")
-        rows = settle(placed.join(mixed, ["band", "h"]).where(F.col("size") > done + 1))
-        if rows.isEmpty():
-            return distinct, found
-        # Their next most central texts; a bucket of n texts is through after about log8(n / 2) rounds.
-        rank = F.row_number().over(Window.partitionBy("band", "h").orderBy("order"))
-        heads = rows.withColumn("rank", rank).where(F.col("rank") <= done + more).where(F.col("rank") > done)
-        met = side(heads, "a", "root").join(side(rows, "b", "root"), ["band", "h"])
-        pairs = met.where("order_a < order_b and root_a != root_b")
-        fresh = settle(_agreeing(pairs, distinct).join(candidates, ["a", "b"], "left_anti"))
-        done, more = done + more, more * 8
-        if not fresh.isEmpty():
-            candidates = settle(candidates.unionByName(fresh))
-            linked = settle(_similar(fresh, _bodies(source, distinct, fresh), known))
-            if not linked.isEmpty():
-                found = settle(found.unionByName(linked))
-                roots = _components(found)
+    # Buckets above the small size that still hold several classes.
+    placed = many.join(roots.withColumnRenamed("node", "order"), "order", "left").withColumn("root", F.coalesce("root", "order"))
+    mixed = placed.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mixed = mixed.where("lo != hi").select("band", "h")
+    rows = settle(placed.join(mixed, ["band", "h"]).select("band", "h", "order", "root", "shingles"))
+    fresh = settle(_across(rows, _bodies(source, distinct, rows.selectExpr("order a", "order b")), known))
+    if not fresh.isEmpty():
+        roots = _components(found.unionByName(fresh), roots)
+    return distinct, roots.select(_body("node").alias("body"), _body("root").alias("root"))
 
 
 def class_table(docs: DataFrame) -> DataFrame:
     """One row per distinct text: body, class (a body), class_id (the least doc_id), class_copies."""
-    distinct, found = links(docs)
-    roots = _components(found)
-    placed = distinct.join(roots, "body", "left").select("body", "doc_id", "copies", F.coalesce("root", F.when(F.col("has"), F.col("body"))).alias("class"))
+    distinct, roots = connected(docs)
+    placed = distinct.join(roots, "body", "left").select("body", "doc_id", "copies", F.coalesce("root", F.when(F.col("shingles") > 0, F.col("body"))).alias("class"))
     groups = placed.where("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("class_texts")
     )
