@@ -290,6 +290,45 @@ def test_line_dedup_on_edges(spark, edge, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_blocks_of_a_bucket_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    texts, rng = [], np.random.default_rng(3)
+    for k in range(70):  # most pairs are just below the threshold, some above; ten texts are one class before
+        words = prose(51, 120).split()
+        for at in rng.choice(120, 1 + k % 3, replace=False):
+            words[at] = f"edit{k}x{at}"
+        texts.append(" ".join(words + words[:6] * (k % 2)))
+    names = [f"{k:016d}{k:032d}" for k in range(70)]
+    roots = [names[10] if 10 <= k < 20 else names[k] for k in range(70)]
+    known = near_dup.Frequencies(70, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sets = []
+    for t in texts:
+        _, h, n = near_dup.shingles([t.encode()])
+        sets.append(dict(zip(h.tolist(), known.weights(h, n).tolist())))
+    # Two buckets: all texts, and the odd ones again.
+    rows = [(b, 7, names[k], roots[k], len(sets[k])) for b in (0, 1) for k in range(0, 70) if b == 0 or k % 2]
+    rows = spark.createDataFrame(rows, "band int, h long, order string, root string, shingles long")
+    bodies = spark.createDataFrame([(n[16:], t) for n, t in zip(names, texts)], "body string, text string")
+
+    def closed(pairs):
+        label = list(range(70))
+        for x, y in [*pairs, *((names.index(roots[k]), k) for k in range(70))]:
+            a, b = label[x], label[y]
+            label = [min(a, b) if v in (a, b) else v for v in label]
+        return label
+
+    truth, links = [], 0
+    for x in range(70):
+        for y in range(x):
+            common = sum(min(w, sets[y].get(h, 0)) for h, w in sets[x].items())
+            if common >= 0.8 * (sum(sets[x].values()) + sum(sets[y].values()) - common) - 1e-9:
+                truth.append((x, y))
+    assert 0 < len(truth) < 70 * 69 // 2
+    out = near_dup._across(rows, bodies, known).collect()
+    assert closed([(names.index(r["a"]), names.index(r["b"])) for r in out]) == closed(truth)
+    assert all(r["a"] < r["b"] for r in out)
+
+
 def test_near_duplicates_by_brute_force(spark, edge, empty):
     rows = edge_rows()
     for k in range(40):  # a large group around a centre that is not its first member
