@@ -364,11 +364,11 @@ def decision_counts(df: DataFrame, entity: str) -> DataFrame:
 
 
 def priority_mix(decisions: DataFrame) -> DataFrame:
-    """Counts for high, medium and low, absent ones as 0; a missing priority counts as medium."""
+    """Counts for critical, high, medium and low, absent ones as 0; a missing priority counts as medium."""
     level = F.lower(F.coalesce(F.nullif("priority", F.lit("")), F.lit("medium")))
-    counts = decisions.agg(*[F.count_if(level == p).alias(p) for p in ("high", "medium", "low")])
-    rank = F.when(col("priority") == "high", 3).when(col("priority") == "medium", 2).otherwise(1)
-    return counts.unpivot([], ["high", "medium", "low"], "priority", "count").orderBy(rank.desc())
+    counts = decisions.agg(*[F.count_if(level == p).alias(p) for p in PRIORITIES])
+    rank = F.array_position(F.lit(list(PRIORITIES)), col("priority"))
+    return counts.unpivot([], list(PRIORITIES), "priority", "count").orderBy(rank.desc())
 
 
 def with_operational_signals(df: DataFrame, quality: DataFrame, api_health: str = "ok") -> DataFrame:

@@ -82,14 +82,16 @@ def with_trailing_orders(timeline: DataFrame, days: int = 30) -> DataFrame:
     """Add order_frequency_30d: the user's orders in the ``days`` days before the order's day.
 
     Orders are counted per day first, so a frame holds at most one row per day however many
-    orders a user places; orders of the same day are not part of it.
+    orders a user places; orders of the same day are not part of it. Orders without a user are
+    one group.
     """
     per_day = timeline.groupBy("user_id", "customer_day_number").agg(F.count(F.lit(1)).alias("n"))
     near = trailing_count(per_day, ["user_id"], "customer_day_number", "n", reach=days)
-    return timeline.join(
-        near.select("user_id", "customer_day_number", col("trailing").alias("order_frequency_30d")),
-        ["user_id", "customer_day_number"],
+    near = near.select(
+        col("user_id").alias("_user"), col("customer_day_number").alias("_day"), col("trailing").alias("order_frequency_30d")
     )
+    same = col("user_id").eqNullSafe(col("_user")) & col("customer_day_number").eqNullSafe(col("_day"))
+    return timeline.join(near, same, "left").drop("_user", "_day")
 
 
 def order_measures() -> dict[str, Column]:
@@ -103,7 +105,9 @@ def order_measures() -> dict[str, Column]:
         "p_days": col("gap"),
         "p_days_squared": col("gap") * col("gap"),
         "p_dow": col("order_dow"),
+        "p_dow_known": col("order_dow").isNotNull().cast("int"),
         "p_hour": col("order_hour_of_day"),
+        "p_hour_known": col("order_hour_of_day").isNotNull().cast("int"),
         "p_weekend": col("is_weekend_order"),
         "p_evening": col("is_evening_order"),
     }
@@ -167,8 +171,8 @@ def order_history(
         col("gap").alias("days_since_last_order"),
         col("p_days").alias("customer_tenure_days"),
         "order_frequency_30d",
-        ratio("p_dow", "p_orders").alias("avg_order_dow"),
-        ratio("p_hour", "p_orders").alias("avg_order_hour_of_day"),
+        ratio("p_dow", "p_dow_known").alias("avg_order_dow"),
+        ratio("p_hour", "p_hour_known").alias("avg_order_hour_of_day"),
         ratio("p_weekend", "p_orders").alias("weekend_order_ratio"),
         ratio("p_evening", "p_orders").alias("evening_order_ratio"),
         col("has_reordered_items").alias(TARGET_COLUMN),

@@ -92,7 +92,7 @@ def user_order_features(facts: DataFrame) -> DataFrame:
         F.avg(seg.is_weekend()).alias("weekend_order_ratio"),
         F.avg(seg.is_evening()).alias("evening_order_ratio"),
         # Weekdays are 0-6: a bit set counts them without the row expansion of a second distinct.
-        F.bit_count(F.bit_or(F.expr("shiftleft(1L, order_dow)"))).cast("bigint")
+        F.coalesce(F.bit_count(F.bit_or(F.expr("shiftleft(1L, order_dow)"))), F.lit(0)).cast("bigint")
         .alias("active_order_dow_count"),
     )
     orders = F.col("total_orders")

@@ -861,7 +861,7 @@ ORACLE: dict[str, str] = {
         "as recommendations from signals_in s"),
     "priority_mix": _sql(
         "select l.priority, count(d.user_id) as count from levels l left join all_decided d on d.level = l.level "
-        "where l.priority <> 'critical' group by l.priority"),
+        "group by l.priority"),
     "operational_signals": _sql(
         "select customer_segment, cast(row_number() over (partition by customer_segment order by level desc, k) "
         "as integer) as place, decision_type, priority, title, metric "

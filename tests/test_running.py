@@ -90,3 +90,22 @@ def test_history_in_chunks_equals_history_in_one(spark, monkeypatch):
     ]
     assert rounded[0].exceptAll(rounded[1]).count() == 0
     assert whole.count() == cut.count() == 1500
+
+
+def test_history_keeps_orders_without_user_and_skips_unknown_weekdays(spark):
+    facts = spark.createDataFrame(
+        [  # a NULL user, a NULL weekday and hour, two orders on one day, a fractional gap
+            (1, 7, "prior", 1, 4, 10, None, 2, 0),
+            (2, 7, "prior", 2, None, None, 0.0, 1, 1),
+            (3, 7, "train", 3, 2, 8, 2.5, 3, 1),
+            (4, None, "prior", 1, 1, 9, None, 1, 0),
+            (5, None, "train", 2, 5, 20, 5.0, 1, 1),
+        ],
+        "order_id int, user_id int, eval_set string, order_number int, order_dow int, order_hour_of_day int, "
+        "days_since_prior_order double, item_count long, reordered_item_count long",
+    )
+    rows = {r.order_id: r for r in order_history(facts).collect()}
+    assert sorted(rows) == [1, 2, 3, 4, 5]
+    assert (rows[3].avg_order_dow, rows[3].avg_order_hour_of_day) == (4.0, 10.0)
+    assert [rows[i].order_frequency_30d for i in (1, 2, 3, 4, 5)] == [0, 0, 2, 0, 1]
+    assert [rows[i].total_orders for i in (1, 2, 3, 4, 5)] == [0, 1, 2, 0, 1]
