@@ -10,12 +10,22 @@ Scoring never joins positions. Blocks of rows list their different n-grams; the
 join with the sharded count tables of all orders and get their probability; those are then handed back. Up to
 ``MOST_SENT`` n-grams that is one table sent to every task, beyond it each block of documents is
 met by the n-grams of that block alone (``by_blocks``), with the same result. A document's perplexity is the exponential of
-its mean negative log probability per character; a document is kept if that is at most the ``QUANTILE`` of the
-trusted documents of its language (approximate quantile with relative rank error 1e-4).
+its mean negative log probability per character; that must be at most the ``QUANTILE`` of the trusted documents of its
+language and length class (powers of two of the characters, ``CLASSES``; approximate quantile with relative rank
+error 1e-4). So the few odd and very short trusted texts raise the threshold of their own class alone. A class without trusted
+text takes the threshold of the language.
+
+Characters do not show a toxic word, so words are counted besides, by documents: toxic ones (labelled so, whatever
+their quality) against trusted ones, again of the other half. A word in at least ``LEAST_TOXIC`` toxic documents and ``RATIO``
+times as often there as in trusted ones is marked, with the root of its log-likelihood ratio as weight. Marked words go the
+way of the n-grams. A document's toxicity is the weight of its different words by the root of their number; that too must
+be at most the ``QUANTILE`` of the trusted documents of its language. A document is kept if both hold.
 
 Edge cases: null language is a language of its own. Documents without characters, or in a language without
 trusted text, have no perplexity (null) and are kept: there is nothing to judge them by. Characters beyond
 U+FFFE count modulo that number. Rows that share a doc_id with a label row are trusted if any label says so.
+Rows that share a doc_id with a toxic label row and are not trusted are toxic. Without toxic or trusted documents in a
+language no word is marked and toxicity is 0. Words are those of ``common.word_hashes``.
 Repeated rows count and are judged each; other columns are ignored.
 """
 
@@ -31,10 +41,14 @@ from pyspark.sql import functions as F
 
 from cartwright.session import settle
 
-from .common import blocks, ship
+from .common import blocks, ship, word_hashes
 
 ORDER = 4
 QUANTILE = 0.995
+#: Least and largest length class: 2^5 characters and fewer, 2^12 and more.
+CLASSES = (5, 12)
+#: Least number of toxic documents with a marked word, and how much more often toxic documents have it.
+LEAST_TOXIC, RATIO = 3, 10.0
 MOST_SENT = 2_000_000
 #: Documents of one block of the second way to hand out probabilities.
 BLOCK_ROWS = 4000
@@ -62,6 +76,25 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The different words of several texts: index of the text (ascending) and hash."""
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    ends = np.cumsum([len(x) for x in texts])
+    cuts = np.flatnonzero(np.diff(ends // (4 << 20), prepend=0)).tolist()
+    for low, high in zip([0, *cuts], [*cuts, len(texts)]):
+        if low == high:
+            continue
+        hashes, counts = word_hashes([x.encode("utf-8", "surrogatepass") for x in texts[low:high]])
+        owner = np.repeat(np.arange(low, high), counts)
+        order = np.lexsort((hashes, owner))
+        owner, hashes = owner[order], hashes[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+        owners.append(owner[new])
+        found.append(hashes[new])
+    return np.concatenate(owners), np.concatenate(found)
+
+
 def _language(docs: DataFrame) -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(""))
 
@@ -132,6 +165,35 @@ def probabilities(wanted: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return rows.select("lang", "g", F.log("p").alias("lp"))
 
 
+def marked(labelled: DataFrame) -> DataFrame:
+    """lang, g, lp: marked words (hashes) and their weights, from ``labelled`` (lang, trusted, text): trusted and toxic documents.
+    The language stands behind a ``w``, so that no n-gram is taken for a word."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, 16 << 20, 1 << 20):
+            keys = list(zip(batch.column("lang").to_pylist(), batch.column("trusted").to_pylist()))
+            texts = batch.column("text").to_pylist()
+            for lang, trusted in sorted(set(keys)):
+                mine = words([x for x, key in zip(texts, keys) if key == (lang, trusted)])[1]
+                found, n = np.unique(mine, return_counts=True)
+                columns = [pa.array([lang] * len(found), pa.string()), pa.array([trusted] * len(found), pa.bool_()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "trusted", "g", "n"])
+
+    def of(trusted: bool, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("trusted") == trusted, value)), F.lit(0)).cast("double")
+
+    counts = labelled.mapInArrow(read, "lang string, trusted boolean, g long, n long")
+    counts = counts.groupBy("lang", "g").agg(of(False, F.col("n")).alias("t"), of(True, F.col("n")).alias("c")).where(F.col("t") >= LEAST_TOXIC)
+    documents = labelled.groupBy("lang").agg(of(False, F.lit(1)).alias("toxic"), of(True, F.lit(1)).alias("clean"))
+    rows = counts.join(F.broadcast(documents.where("toxic > 0 and clean > 0")), "lang")  # one row per language
+    often = (F.col("t") + 0.5) / (F.col("toxic") + 1) >= RATIO * (F.col("c") + 0.5) / (F.col("clean") + 1)
+
+    def part(n: str, of_: str) -> Column:
+        return F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) * (F.col("toxic") + F.col("clean")) / ((F.col("t") + F.col("c")) * F.col(of_)))).otherwise(0.0)
+
+    weight = F.sqrt(F.greatest(F.lit(0.0), 2 * (part("t", "toxic") + part("c", "clean"))))
+    return rows.where(often).select(F.concat(F.lit("w"), "lang").alias("lang"), "g", weight.alias("lp"))
+
+
 class Scores:
     def __init__(self, frame: pd.DataFrame) -> None:
         self.of = {}
@@ -151,30 +213,41 @@ class Scores:
             return np.exp(-(sums[ends] - sums[ends - sizes]) / np.where(sizes, sizes, np.nan))
 
 
+    def toxicities(self, lang: str, texts: list[str]) -> np.ndarray:
+        if "w" + lang not in self.of:
+            return np.zeros(len(texts))
+        keys, weights = self.of["w" + lang]
+        owner, found = words(texts)
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        weight = np.where(keys[at] == found, weights[at], 0.0)
+        return np.bincount(owner, weight, len(texts)) / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(texts))))
+
+
 def _scored(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, lang, trusted, text) with their perplexity, by one table for every task."""
+    """``rows`` (doc_id, lang, trusted, text) with their perplexity and toxicity, by one table for every task."""
     frame = known.toPandas()  # at most MOST_SENT rows
     scores = Scores(frame)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 8 << 20, 1 << 20):
-            yield _with_perplexity(batch, scores)
+            yield _with_scores(batch, scores)
 
     return rows.mapInArrow(score, _SCORED.format(rows.schema["doc_id"].dataType.simpleString()))
 
 
-_SCORED = "doc_id {}, lang string, trusted boolean, perplexity double"
+_SCORED = "doc_id {}, lang string, trusted boolean, perplexity double, toxicity double, chars long"
 
 
-def _with_perplexity(batch: pa.RecordBatch, scores: Scores) -> pa.RecordBatch:
+def _with_scores(batch: pa.RecordBatch, scores: Scores) -> pa.RecordBatch:
     names = np.array(batch.column("lang").to_pylist(), object)
     texts = batch.column("text").to_pylist()
-    out = np.full(len(texts), np.nan)
+    out, toxic = np.full(len(texts), np.nan), np.zeros(len(texts))
     for lang in set(names):
         mine = np.flatnonzero(names == lang)
         out[mine] = scores.perplexities(lang, [texts[i] for i in mine])
-    columns = [batch.column("doc_id"), batch.column("lang"), batch.column("trusted"), pa.array(out, from_pandas=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "trusted", "perplexity"])
+        toxic[mine] = scores.toxicities(lang, [texts[i] for i in mine])
+    columns = [batch.column("doc_id"), batch.column("lang"), batch.column("trusted"), pa.array(out, from_pandas=True), pa.array(toxic), pa.array(list(map(len, texts)), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "trusted", "perplexity", "toxicity", "chars"])
 
 
 def by_blocks(rows: DataFrame, known: DataFrame, documents: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -187,17 +260,19 @@ def by_blocks(rows: DataFrame, known: DataFrame, documents: int, block_rows: int
             names, number = np.array(batch.column("lang").to_pylist(), object), np.array(batch.column("block").to_pylist())
             texts = batch.column("text").to_pylist()
             for lang, block in sorted(set(zip(names, number))):
-                found = np.unique(grams([texts[i] for i in np.flatnonzero((names == lang) & (number == block))])[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(found), pa.int64()), pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64))], names=["block", "lang", "g"]
-                )
+                mine = [texts[i] for i in np.flatnonzero((names == lang) & (number == block))]
+                for name, all_ in ((lang, grams(mine)[0]), ("w" + lang, words(mine)[1])):
+                    found = np.unique(all_)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block] * len(found), pa.int64()), pa.array([name] * len(found), pa.string()), pa.array(found.view(np.int64))], names=["block", "lang", "g"]
+                    )
 
     asked = dealt.mapInArrow(listed, "block long, lang string, g long").distinct()
     given = asked.join(known, ["lang", "g"])
 
     def score(documents_: pa.Table, table: pa.Table) -> pa.Table:
         scores = Scores(table.select(["lang", "g", "lp"]).to_pandas())
-        batches = [_with_perplexity(b, scores) for b in documents_.combine_chunks().to_batches()]
+        batches = [_with_scores(b, scores) for b in documents_.combine_chunks().to_batches()]
         return pa.Table.from_batches(batches, schema=_empty(documents_.schema.field("doc_id").type))
 
     out = _SCORED.format(rows.schema["doc_id"].dataType.simpleString())
@@ -205,13 +280,22 @@ def by_blocks(rows: DataFrame, known: DataFrame, documents: int, block_rows: int
 
 
 def _empty(id_type: pa.DataType) -> pa.Schema:
-    return pa.schema([("doc_id", id_type), ("lang", pa.string()), ("trusted", pa.bool_()), ("perplexity", pa.float64())])
+    return pa.schema([("doc_id", id_type), ("lang", pa.string()), ("trusted", pa.bool_()), ("perplexity", pa.float64()), ("toxicity", pa.float64()), ("chars", pa.int64())])
+
+
+def _length_class(chars: Column) -> Column:
+    return F.greatest(F.lit(CLASSES[0]), F.least(F.lit(CLASSES[1]), F.floor(F.log2(F.greatest(F.lit(1), chars)))))
+
+
+def _quantile(value: str) -> Column:
+    return F.percentile_approx(value, F.lit(QUANTILE), F.lit(10000))
 
 
 def judged(docs: DataFrame, labels: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
-    """doc_id, perplexity, threshold (of the language) and kept."""
+    """doc_id, perplexity, threshold (of the language and length class), toxicity, toxic_threshold (of the language) and kept."""
     ship(docs.sparkSession)
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("good")).distinct()
+    bad = labels.where("toxic = 1").select(F.col("doc_id").alias("bad")).distinct()
     base = docs.select("doc_id", _language(docs).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = base.join(good, F.col("doc_id") == F.col("good"), "left").withColumn("trusted", F.col("good").isNotNull())
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
@@ -219,11 +303,16 @@ def judged(docs: DataFrame, labels: DataFrame, most_sent: int = MOST_SENT) -> Da
     other = F.concat(F.when(F.col("lang").startswith("0"), "1").otherwise("0"), F.substring("lang", 2, 1 << 30))
     tables = model(rows.where("trusted").withColumn("lang", other))
     wanted = _per_block(rows, False).select("lang", "g").distinct()
-    known = settle(probabilities(wanted, tables))
+    labelled = rows.join(bad, F.col("doc_id") == F.col("bad"), "left").where("trusted or bad is not null")
+    known = settle(probabilities(wanted, tables).unionByName(marked(labelled.select(other.alias("lang"), "trusted", "text"))))
     small = known.count() <= most_sent
     scored = _scored(rows, known) if small else by_blocks(rows, known, docs.count())
-    scored = settle(scored.withColumn("lang", F.substring("lang", 2, 1 << 30)))
-    limits = scored.where("trusted and perplexity is not null").groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10000)).alias("threshold"))
-    both = scored.join(F.broadcast(limits), "lang", "left")  # one row per language
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return both.select("doc_id", "perplexity", "threshold", kept.alias("kept"))
+    scored = settle(scored.withColumns({"lang": F.substring("lang", 2, 1 << 30), "class": _length_class(F.col("chars"))}))
+    trusted = scored.where("trusted and perplexity is not null")
+    whole = trusted.groupBy("lang").agg(_quantile("perplexity").alias("of_lang"), _quantile("toxicity").alias("toxic_threshold"))
+    limits = trusted.groupBy("lang", "class").agg(_quantile("perplexity").alias("of_class"))
+    # One row per language, and eight.
+    both = scored.join(F.broadcast(whole), "lang", "left").join(F.broadcast(limits), ["lang", "class"], "left")
+    both = both.withColumn("threshold", F.coalesce("of_class", "of_lang"))
+    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("toxicity") <= F.col("toxic_threshold"), F.lit(True))
+    return both.select("doc_id", "perplexity", "threshold", "toxicity", "toxic_threshold", kept.alias("kept"))

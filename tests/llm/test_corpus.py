@@ -218,6 +218,25 @@ def test_perplexity_flags_other_text(spark, empty):
     assert kn_quality.judged(empty, labels).count() == 0 and kn_quality.judged(docs, labels.limit(0)).where("kept").count() == 63
 
 
+def test_quality_thresholds_by_length_and_toxic_words(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(i, 80)) for i in range(120)]
+    rows += [(200 + i, "".join(chr(c) for c in rng.integers(33, 120, 12))) for i in range(6)]  # short odd trusted texts
+    for i in range(300, 340):
+        at = int(rng.integers(10, 70))
+        rows.append((i, " ".join(w if k not in (at, at + 3) else ("silverloom", "gardenstorm")[k > at] for k, w in enumerate(prose(i, 80).split()))))
+    rows.append((400, "".join(c if k % 4 else "xqzj#%"[k % 6] for k, c in enumerate(prose(400, 80)))))
+    labels = [(i, 1, 0) for i in [*range(110), *range(200, 206)]] + [(i, 1, 1) for i in range(300, 330)] + [(400, 0, 0)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, rows)
+    one = {r["doc_id"]: r for r in kn_quality.judged(docs, labels).collect()}
+    assert max(one[i]["perplexity"] for i in range(200, 206)) > one[400]["perplexity"] and not one[400]["kept"]
+    assert not any(one[i]["kept"] for i in range(300, 340))  # 330 to 339 have no label
+    assert sum(one[i]["kept"] for i in range(110)) >= 105 and sum(one[i]["kept"] for i in range(110, 120)) >= 8
+    other = {r["doc_id"]: r for r in kn_quality.judged(docs, labels, most_sent=0).collect()}
+    assert all(one[i]["kept"] == other[i]["kept"] and one[i]["toxicity"] == pytest.approx(other[i]["toxicity"]) for i in one)
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark):
     docs = docs_of(spark, [(1, "abracadabra abc"), (2, "bcab cab")])
     tables = kn_quality.model(docs)
