@@ -288,7 +288,7 @@ def _spanning(table: pa.Table, known: Frequencies) -> pa.Table:
     weight = known.weights(shingle, np.ones(len(shingle)))
     n = len(names)
     total = np.bincount(owner, weight, n)
-    _, feature, held = np.unique(mix(shingle + (nth.astype(np.uint64) << np.uint64(52))), return_inverse=True, return_counts=True)
+    _, feature, held = np.unique(mix(shingle) + mix(nth.astype(np.uint64)), return_inverse=True, return_counts=True)
     number = np.cumsum(held > 1) - 1
     shared = held[feature] > 1
     owner, weight, feature = owner[shared], weight[shared], number[feature[shared]]

@@ -348,6 +348,17 @@ def test_blocks_of_a_bucket_by_brute_force(spark, monkeypatch):
     assert all(r["a"] < r["b"] for r in out)
 
 
+def test_blocks_count_every_repeat(spark):
+    """Two texts that repeat a phrase 20,000 and 18,000 times: similarity 0.9, also between blocks."""
+    phrase = "river stone cloud letter orange "
+    texts = [phrase * 20_000, phrase * 18_000, phrase * 9_000]
+    names = [f"{k:016d}{k:032d}" for k in range(3)]
+    known = near_dup.Frequencies(3, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rows = spark.createDataFrame([(0, 7, n, n, 5) for n in names], "band int, h long, order string, root string, shingles long")
+    bodies = spark.createDataFrame([(n[16:], t) for n, t in zip(names, texts)], "body string, text string")
+    assert [(r["a"], r["b"]) for r in near_dup._across(rows, bodies, known).collect()] == [(names[0], names[1])]
+
+
 def test_near_duplicates_by_brute_force(spark, edge, empty):
     rows = edge_rows()
     for k in range(40):  # a large group around a centre that is not its first member
