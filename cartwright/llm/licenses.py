@@ -1,12 +1,15 @@
 """Licence statements in texts, by comparison with templates.
 
 Text and templates are normalised alike: letters in lower case, everything that is no letter or digit separates words,
-copyright lines are left out. Two word sequences are compared by the Dice coefficient of their
-word bigrams with repetitions, ``2 |A and B| / (|A| + |B|)``. A passage is a run of whole lines. For a threshold t only
-passages with between ``t / (2 - t)`` and ``(2 - t) / t`` times the bigrams of a template can reach it, and
-they must share ``t / (2 - t)`` of its bigrams: templates and runs outside these bounds are never compared.
-For each template the best run around each line that holds its bigrams is kept; of findings that overlap the one
-with the highest coefficient stays (then the longer, then by name).
+"copyright ... year" at the start of a line is left out. Two word sequences are compared by the Dice coefficient of their
+word bigrams with repetitions, ``2 |A and B| / (|A| + |B|)``. A passage is any window of words, over line ends or within a
+line. For a threshold t only windows with between ``t / (2 - t)`` and ``(2 - t) / t`` times the bigrams of a template can reach
+it, and they must share ``t / (2 - t)`` of its bigrams: templates and windows outside these bounds are never
+compared. The best window begins and ends with a bigram of the template, since one that does not only gains by losing its
+end, so only those are. A template of fewer than ``WHOLE`` bigrams must be met whole: a part of it names no licence.
+For each template the best windows that do not overlap are kept; a finding within one of a template with ``TEXT`` bigrams and
+twice its own is part of that one; of other findings that overlap the one with the highest coefficient stays (then the
+longer, then by name). A template ``name#k`` is a further wording of ``name``, and reported as that.
 
 Edge cases: null, empty and wordless texts hold nothing. Repeated rows are scanned each. Other columns are
 ignored. Texts of any length are scanned whole; work per template is bounded by the size bounds.
@@ -18,12 +21,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ship, texts_of
+from .licence_texts import TEXTS
 
 THRESHOLD = 0.8
+WHOLE = 4
+#: Bigrams from which a template is a text that may hold notices.
+TEXT = 25
 
 # Licence texts and notices.
 TEMPLATES = {
@@ -76,12 +84,60 @@ use, compile, sell, or distribute this software, either in source code form or a
 commercial or non-commercial, and by any means.""",
 }
 
+_BSD2 = TEMPLATES["BSD-2-Clause"]
+_GPL3 = TEMPLATES["GPL-3.0-header"]
+TEMPLATES |= {
+    "BSD-3-Clause": _BSD2.replace("THIS SOFTWARE IS PROVIDED BY", """3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written
+permission. THIS SOFTWARE IS PROVIDED BY"""),
+    "GPL-2.0-header": _GPL3.replace("version 3", "version 2"),
+    "AGPL-3.0-header": _GPL3.replace("GNU General", "GNU Affero General"),
+    "LGPL-3.0-header": _GPL3.replace("GNU General", "GNU Lesser General"),
+    "LGPL-2.1-header": _GPL3.replace("GNU General", "GNU Lesser General").replace("program", "library").replace("version 3", "version 2.1"),
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    **TEXTS,
+}
+
+
+def _names() -> dict[str, list[str]]:
+    """How notices name a licence."""
+    names = {
+        "MIT": ["MIT License", "MIT licence", "Expat License"],
+        "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 License", "Apache 2.0", "Apache License v2"],
+        "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0", "MPL 2.0", "MPLv2"],
+        "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD 3-Clause"],
+        "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD 2-Clause"],
+        "BSD": ["BSD License", "BSD licence"],
+        "ISC": ["ISC License"],
+        "Unlicense": ["Unlicense"],
+        "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero 1.0"],
+    }
+    for short, long in (("GPL", "General Public License"), ("LGPL", "Lesser General Public License"), ("AGPL", "Affero General Public License")):
+        names[short] = [f"GNU {long}", long, f"GNU {short}", short, f"{short} License"]
+        for version in {"GPL": ("2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}[short]:
+            exact = version if "." in version else version + ".0"
+            names[f"{short}-{exact}"] = [
+                x for full in (f"GNU {long}", long, f"GNU {short}", short) for v in dict.fromkeys((version, exact)) for x in (f"{full} version {v}", f"{full} v{v}", f"{full} {v}", f"{full}v{v}")
+            ]
+    for code, words in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+                        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+        for version in ("3.0", "4.0"):
+            names[f"CC-{code}-{version}"] = [f"CC {code} {version}", f"Creative Commons {words} {version}", f"Creative Commons {words} {version} International License"]
+    return names
+
+
+for _licence, _known_as in _names().items():
+    _said = [lead + x for x in _known_as for lead in ("under the ", "under a ", "under ", "terms of the ", "license: ")] + [f"SPDX-License-Identifier: {_licence}"]
+    for _k, _wording in enumerate(_said, 1):
+        TEMPLATES[f"{_licence}-notice#{_k}"] = _wording
+
 _WORD = re.compile(r"[^\W_]+")
-_COPYRIGHT = re.compile(r"\s*(?:copyright\b|\(c\)|©)[^\n]*\b(?:19|20)\d\d\b", re.I)
+_COPYRIGHT = re.compile(r"\s*(?:copyright\b|\(c\)|©)[^\n]*?\b(?:19|20)\d\d\b(?:\s*[-–,]\s*(?:19|20)\d\d\b)*", re.I)
 
 
 def normal_words(line: str) -> list[str]:
-    return [] if _COPYRIGHT.match(line) else _WORD.findall(line.lower())
+    return _WORD.findall(_COPYRIGHT.sub("", line, count=1).lower() if _COPYRIGHT.match(line) else line.lower())
 
 
 def bigrams(words: list[str]) -> list[tuple[str, str]]:
@@ -106,41 +162,55 @@ class Templates:
         self.least = {name: least * n for name, n in self.size.items()}
         self.most = {name: n / least for name, n in self.size.items()}
 
+    def _windows(self, name: str, at: np.ndarray, grams: list[tuple[str, str]]) -> list[tuple[float, int, int]]:
+        """(coefficient, first and last bigram) of the best windows of a template that do not overlap; ``at``: where its bigrams stand."""
+        size, least, most = self.size[name], self.least[name], self.most[name]
+        # A bigram counts unless the template's number of it stands in the window before: ``full`` is the hit so many places back.
+        full, seen = np.full(len(at), -1), {}
+        for k, gram in enumerate(grams):
+            places = seen.setdefault(gram, [])
+            if len(places) >= self.grams[name][gram]:
+                full[k] = places[-self.grams[name][gram]]
+            places.append(k)
+        found = []
+        ends = np.searchsorted(at, at + most, side="right")  # windows of at most ``most`` bigrams, with room for rounding
+        for k in np.flatnonzero(ends - np.arange(len(at)) >= least):
+            sizes = at[k : ends[k]] - at[k] + 1
+            common = np.cumsum(full[k : ends[k]] < k)
+            score = np.where((sizes <= most) & (sizes >= least), 2 * common / (sizes + size), 0)
+            if size < WHOLE:
+                score[common < size] = 0
+            best = int(score.argmax())
+            if score[best] >= self.threshold:
+                found.append((float(score[best]), int(at[k]), int(at[k + best])))
+        return _apart(sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1])), 1)
+
     def find(self, text: str) -> list[tuple[int, int, str, float]]:
         """(first line, last line, template, coefficient) of the findings in a text, in order."""
-        lines = [normal_words(line) for line in text.split("\n")]
-        at = [i for i, words in enumerate(lines) if words]
-        if not at:
-            return []
-        # Bigrams by the line of their second word, so that each line adds its own to a run.
-        flat = [(w, k) for k, i in enumerate(at) for w in lines[i]]
-        shared: dict[str, Counter] = {}
-        for (a, j), (b, k) in zip(flat, flat[1:]):
+        flat = [(w, i) for i, line in enumerate(text.split("\n")) for w in normal_words(line)]
+        places: dict[str, list[int]] = {}
+        for k, ((a, _), (b, _)) in enumerate(zip(flat, flat[1:])):
             if a in self.first_words:
                 for name in self.of.get((a, b), ()):
-                    shared.setdefault(name, Counter()).update({j, k})  # the lines of both words
+                    places.setdefault(name, []).append(k)
         found = []
-        for name, hits in shared.items():
-            if hits.total() < self.least[name]:
-                continue
-            best: dict[int, tuple[float, int]] = {}
-            for start in hits:
-                run: list[str] = []
-                for k in range(start, len(at)):
-                    run += lines[at[k]]
-                    n = len(run) - 1
-                    if n > self.most[name]:
-                        break
-                    if k in hits and n >= self.least[name]:
-                        score = dice(Counter(bigrams(run)), self.grams[name])
-                        if score >= self.threshold and score > best.get(start, (0.0, 0))[0]:
-                            best[start] = (score, k)
-            found += [(-score, start - k, name, start, k) for start, (score, k) in best.items()]
-        taken: list[tuple[int, int, str, float]] = []
-        for score, _, name, start, k in sorted(found):
-            if all(k < s or e < start for s, e, _, _ in taken):
-                taken.append((start, k, name, -score))
-        return [(at[s], at[e], name, score) for s, e, name, score in sorted(taken)]
+        for name, at in places.items():
+            if len(at) >= self.least[name]:
+                windows = self._windows(name, np.array(at), [(flat[k][0], flat[k + 1][0]) for k in at])
+                found += [(-score, start - end, name.split("#")[0], start, end, self.size[name]) for score, start, end in windows]
+        # A notice within a licence text belongs to it.
+        found = [x for x in found if not any(y[3] <= x[3] and x[4] <= y[4] and y[5] >= max(2 * x[5], TEXT) for y in found)]
+        taken = _apart(sorted(found), 3)
+        return [(flat[start][1], flat[end + 1][1], name, -score) for score, _, name, start, end, _ in sorted(taken, key=lambda x: x[3])]
+
+
+def _apart(found: list[tuple], start: int) -> list[tuple]:
+    """The findings that share no word with one before them; ``start``: where a finding has its first and last bigram."""
+    taken: list[tuple] = []
+    for x in found:
+        if all(x[start + 1] + 1 < t[start] or t[start + 1] + 1 < x[start] for t in taken):
+            taken.append(x)
+    return taken
 
 
 def licences(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

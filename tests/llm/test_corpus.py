@@ -117,6 +117,38 @@ def test_licence_bounds_lose_nothing():
     assert [(s, e, n) for s, e, n, _ in known.find(text)] == [(best[2], best[3], best[1])]
 
 
+def test_licences_within_lines_and_in_other_words():
+    known = licenses.Templates(licenses.TEMPLATES)
+
+    def names(text):
+        return [n for _, _, n, _ in known.find(text)]
+
+    assert known.find("one\nFor more details see the project page. Released under the MIT License.")[0][:3] == (1, 1, "MIT-notice")
+    assert names("Licensed under the MIT License.") == names("Copyright 2020 Some One. It is under the terms of the MIT License!") == ["MIT-notice"]
+    assert names("a b. Released under the MIT License. c d. Licensed under CC BY-NC 4.0. e") == ["MIT-notice", "CC-BY-NC-4.0-notice"]
+    for text, name in (("code under GNU General Public License v2 here", "GPL-2.0"), ("is licensed under the GNU GPLv3 or so", "GPL-3.0"), ("This work is licensed under the GNU General Public License.", "GPL"),
+                       ("distributed under the BSD 3-Clause License", "BSD-3-Clause"), ("under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"), ("// SPDX-License-Identifier: MPL-2.0", "MPL-2.0"),
+                       ("under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"), ("it is under the GNU AGPL v3", "AGPL-3.0")):
+        assert names(text) == [f"{name}-notice"], text
+    assert names("released by the university under the state rules") == names("SPDX-License-Identifier: Zlib") == names("see the terms of the lease and the license") == []
+    for name in ("BSD-3-Clause", "BSD-2-Clause", "GPL-2.0-header", "LGPL-2.1-header", "AGPL-3.0-header", "MPL-2.0-header", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0"):
+        assert names("words before " + licenses.TEMPLATES[name].replace(" any ", " each ") + " words after") == [name]
+
+
+def test_licence_windows_by_brute_force():
+    known = licenses.Templates({"a": "w1 w2 w3 w1 w2 w4", "b": "w5 w1 w2 w5 w5 w3 w4 w2"})
+    rng = np.random.default_rng(5)
+    hits = 0
+    for _ in range(200):
+        words = [f"w{i}" for i in rng.integers(1, 6, 25)]
+        for name, grams in known.grams.items():
+            best = max(licenses.dice(Counter(licenses.bigrams(words[i:j])), grams) for i in range(25) for j in range(i + 2, 26))
+            found = [s for _, _, _, s in licenses.Templates({name: {"a": "w1 w2 w3 w1 w2 w4", "b": "w5 w1 w2 w5 w5 w3 w4 w2"}[name]}).find(" ".join(words))]
+            assert max(found, default=0) == pytest.approx(best if best >= known.threshold else 0)
+            hits += bool(found)
+    assert hits > 3
+
+
 def test_packing_round_trip(spark, edge, empty):
     pieces = packing.tokenise(edge).persist()
     placed = packing.pack(pieces, shard=5).collect()
