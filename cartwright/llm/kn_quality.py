@@ -34,7 +34,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,11 +194,11 @@ def marked(labelled: DataFrame) -> DataFrame:
 
 
 class Scores:
-    def __init__(self, frame: pd.DataFrame) -> None:
+    def __init__(self, tables: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.of = {}
-        for lang, part in frame.groupby("lang"):
-            order = np.argsort(part["g"].to_numpy().view(np.uint64))
-            self.of[lang] = (part["g"].to_numpy().view(np.uint64)[order], part["lp"].to_numpy()[order])
+        for lang, (keys, lp) in tables.items():
+            order = np.argsort(keys)
+            self.of[lang] = (keys[order], lp[order])
 
     def perplexities(self, lang: str, texts: list[str]) -> np.ndarray:
         found, sizes = grams(texts)
@@ -223,10 +222,28 @@ class Scores:
         return np.bincount(owner, weight, len(texts)) / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(texts))))
 
 
+def _by_language(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    frame = table.select(["lang", "g", "lp"]).to_pandas()
+    return {lang: (part["g"].to_numpy().view(np.uint64), part["lp"].to_numpy()) for lang, part in frame.groupby("lang")}
+
+
+def _collected(known: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """At most MOST_SENT rows on the driver, packed to 16 bytes each: as rows they would fill it."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = _by_language(pa.Table.from_batches([batch]))
+            columns = [pa.array(list(parts), pa.string())] + [pa.array([x[k].tobytes() for x in parts.values()], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "g", "lp"])
+
+    parts: dict[str, list] = {}
+    for row in known.mapInArrow(pack, "lang string, g binary, lp binary").collect():
+        parts.setdefault(row["lang"], []).append((np.frombuffer(row["g"], np.uint64), np.frombuffer(row["lp"], float)))
+    return {lang: (np.concatenate([x for x, _ in both]), np.concatenate([y for _, y in both])) for lang, both in parts.items()}
+
+
 def _scored(rows: DataFrame, known: DataFrame) -> DataFrame:
     """``rows`` (doc_id, lang, trusted, text) with their perplexity and toxicity, by one table for every task."""
-    frame = known.toPandas()  # at most MOST_SENT rows
-    scores = Scores(frame)
+    scores = Scores(_collected(known))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 8 << 20, 1 << 20):
@@ -250,8 +267,11 @@ def _with_scores(batch: pa.RecordBatch, scores: Scores) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "trusted", "perplexity", "toxicity", "chars"])
 
 
-def by_blocks(rows: DataFrame, known: DataFrame, documents: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``_scored`` for any number of n-grams: documents and the n-grams of their block meet."""
+def by_blocks(rows: DataFrame, known: DataFrame, documents: int, block_rows: int = BLOCK_ROWS, *, toxic: DataFrame, send: bool) -> DataFrame:
+    """``_scored`` for any number of n-grams: documents and the n-grams of their block meet. Marked words (``toxic``) are sent
+    to every task (``send``) or go the same way."""
+    sent = _collected(toxic) if send else {}
+    known = known if send else known.unionByName(toxic)
     many = max(1, -(-documents // block_rows))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)))
 
@@ -261,7 +281,7 @@ def by_blocks(rows: DataFrame, known: DataFrame, documents: int, block_rows: int
             texts = batch.column("text").to_pylist()
             for lang, block in sorted(set(zip(names, number))):
                 mine = [texts[i] for i in np.flatnonzero((names == lang) & (number == block))]
-                for name, all_ in ((lang, grams(mine)[0]), ("w" + lang, words(mine)[1])):
+                for name, all_ in ((lang, grams(mine)[0]), *([] if send else [("w" + lang, words(mine)[1])])):
                     found = np.unique(all_)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([block] * len(found), pa.int64()), pa.array([name] * len(found), pa.string()), pa.array(found.view(np.int64))], names=["block", "lang", "g"]
@@ -271,7 +291,7 @@ def by_blocks(rows: DataFrame, known: DataFrame, documents: int, block_rows: int
     given = asked.join(known, ["lang", "g"])
 
     def score(documents_: pa.Table, table: pa.Table) -> pa.Table:
-        scores = Scores(table.select(["lang", "g", "lp"]).to_pandas())
+        scores = Scores({**_by_language(table), **sent})
         batches = [_with_scores(b, scores) for b in documents_.combine_chunks().to_batches()]
         return pa.Table.from_batches(batches, schema=_empty(documents_.schema.field("doc_id").type))
 
@@ -294,19 +314,24 @@ def _quantile(value: str) -> Column:
 def judged(docs: DataFrame, labels: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """doc_id, perplexity, threshold (of the language and length class), toxicity, toxic_threshold (of the language) and kept."""
     ship(docs.sparkSession)
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("good")).distinct()
-    bad = labels.where("toxic = 1").select(F.col("doc_id").alias("bad")).distinct()
+    good = F.max((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
+    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.coalesce(good, F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("bad"))
+    marks = settle(marks.where("good or bad"))  # its true size tells whether texts need be shuffled
     base = docs.select("doc_id", _language(docs).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = base.join(good, F.col("doc_id") == F.col("good"), "left").withColumn("trusted", F.col("good").isNotNull())
+    rows = base.join(marks, F.col("doc_id") == F.col("_id"), "left").withColumn("trusted", F.coalesce("good", F.lit(False)))
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    rows = rows.select("doc_id", F.concat(half.cast("string"), "lang").alias("lang"), "trusted", "text")
+    rows = rows.select("doc_id", F.concat(half.cast("string"), "lang").alias("lang"), "trusted", "text", "bad")
     other = F.concat(F.when(F.col("lang").startswith("0"), "1").otherwise("0"), F.substring("lang", 2, 1 << 30))
     tables = model(rows.where("trusted").withColumn("lang", other))
     wanted = _per_block(rows, False).select("lang", "g").distinct()
-    labelled = rows.join(bad, F.col("doc_id") == F.col("bad"), "left").where("trusted or bad is not null")
-    known = settle(probabilities(wanted, tables).unionByName(marked(labelled.select(other.alias("lang"), "trusted", "text"))))
-    small = known.count() <= most_sent
-    scored = _scored(rows, known) if small else by_blocks(rows, known, docs.count())
+    toxic = settle(marked(rows.where("trusted or bad").select(other.alias("lang"), "trusted", "text")))
+    known = settle(probabilities(wanted, tables))
+    n_grams, n_words = known.count(), toxic.count()
+    rows = rows.drop("bad")
+    if n_grams + n_words <= most_sent:
+        scored = _scored(rows, known.unionByName(toxic))
+    else:
+        scored = by_blocks(rows, known, docs.count(), toxic=toxic, send=n_words <= most_sent)
     scored = settle(scored.withColumns({"lang": F.substring("lang", 2, 1 << 30), "class": _length_class(F.col("chars"))}))
     trusted = scored.where("trusted and perplexity is not null")
     whole = trusted.groupBy("lang").agg(_quantile("perplexity").alias("of_lang"), _quantile("toxicity").alias("toxic_threshold"))
