@@ -48,6 +48,8 @@ QUANTILE = 0.995
 CLASSES = (5, 12)
 #: Least number of toxic documents with a marked word, and how much more often toxic documents have it.
 LEAST_TOXIC, RATIO = 3, 10.0
+#: Most labelled documents that are sent to every task; beyond it texts are shuffled to meet them.
+MOST_MARKS = 500_000
 MOST_SENT = 2_000_000
 #: Documents of one block of the second way to hand out probabilities.
 BLOCK_ROWS = 4000
@@ -316,7 +318,9 @@ def judged(docs: DataFrame, labels: DataFrame, most_sent: int = MOST_SENT) -> Da
     ship(docs.sparkSession)
     good = F.max((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.coalesce(good, F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("bad"))
-    marks = settle(marks.where("good or bad"))  # its true size tells whether texts need be shuffled
+    marks = settle(marks.where("good or bad"))
+    if marks.count() <= MOST_MARKS:
+        marks = F.broadcast(marks)  # so texts are not shuffled for them
     base = docs.select("doc_id", _language(docs).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = base.join(marks, F.col("doc_id") == F.col("_id"), "left").withColumn("trusted", F.coalesce("good", F.lit(False)))
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
