@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, kn_quality, language, licenses, line_dedup, near_dup, packing, quality_rules, secrets
+from . import (
+    chat, decontaminate, filter_audit, kn_quality, language, licenses, line_dedup, manifest, near_dup, packing, quality_rules,
+    secrets, token_store,
+)
 from .common import table
 
 
@@ -50,11 +53,24 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secrets, op2_licences, op3_packing, op4_quality_rules, op5_chat, op6_kn_quality,
         op7_decontamination, op8_language, op9_line_dedup, op10_near_dup,
+        op11_token_ids, op12_filter_audit, op13_manifest,
     )
 }
 
@@ -64,4 +80,6 @@ SQL = {
     "op5_chat": chat.READ_SQL,
     "op7_decontamination": decontaminate.REPORT_SQL,
     "op9_line_dedup": line_dedup.REPORT_SQL,
+    "op12_filter_audit": filter_audit.AUDIT_SQL,
+    "op13_manifest": manifest.AUDIT_SQL,
 }
