@@ -53,7 +53,6 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {ord(c): level.pre_tokenize_str(c)[0][0] for c in _LETTERS if not c.isascii()}
         self.model = self.tokenizer.model
