@@ -9,7 +9,6 @@ from pyspark.sql.functions import col
 
 from cartwright.functions import segments as seg, text
 from cartwright.operators import metrics as m, quality as dq
-from cartwright.operators.running import heavy_keys
 from cartwright.plans import decisions as dec, history, incremental, insights, marts, monitoring as mon
 from cartwright.plans import training as tr
 from cartwright.plans.warehouse import Warehouse
@@ -245,7 +244,7 @@ def _(w):
 
 @query("composite_key_left")
 def _(w):
-    known = history.order_history(w.fct_orders).select("user_id", "order_id", "total_orders")
+    known = history.order_history(w.dealt_facts).select("user_id", "order_id", "total_orders")
     targets = w.stg_orders.where(col("eval_set") == "train").select("user_id", "order_id")
     return targets.join(known.where("total_orders >= 1"), ["user_id", "order_id"], "left")
 
@@ -312,12 +311,12 @@ def _(w):
 
 @query("customer_day_number")
 def _(w):
-    return history.customer_day_number(w.fct_orders)
+    return history.customer_day_number(w.dealt_facts)
 
 
 @query("trailing_30d_count")
 def _(w):
-    days = history.customer_day_number(w.fct_orders)
+    days = history.customer_day_number(w.dealt_facts)
     return history.with_trailing_orders(days).select("order_id", "order_frequency_30d")
 
 
@@ -327,7 +326,7 @@ def _history(w: Warehouse) -> DataFrame:
 
 @query("prior_window_features")
 def _(w):
-    return history.order_history(w.fct_orders).select(
+    return history.order_history(w.dealt_facts).select(
         "order_id", "total_orders", "observed_basket_orders", "avg_basket_size", "reorder_ratio",
         "prior_reorder_order_ratio", "days_between_orders", "stddev_days_between_orders",
         "customer_tenure_days", "avg_order_dow", "avg_order_hour_of_day", "weekend_order_ratio",
@@ -345,8 +344,9 @@ def _(w):
 
 @query("heavy_users")
 def _(w):
-    """Users with more than 20 orders: the split the order numbering uses for hot users."""
-    return heavy_keys(w.stg_orders, "user_id", min_rows=20)
+    """Users with more than 20 orders."""
+    counts = w.order_base.groupBy(col("user_id").cast("bigint").alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(col("n") > 20).select("user_id")
 
 
 # Marts ------------------------------------------------------------------------------------------

@@ -12,13 +12,13 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import col
 
-from cartwright.operators.running import neighbours, running_before, settle
+from cartwright.operators.running import scan
+from cartwright.session import settle
 
 # The decision thresholds 0.05, 0.10 ... 0.95.
 THRESHOLDS = [round(step / 20, 2) for step in range(1, 20)]
 CURVE_POINTS = 200
 DEFAULT_THRESHOLD = 0.5
-SCORE_CHUNKS = 1024
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -113,40 +113,35 @@ def confusion_rows(counts: DataFrame, by: list[str] = ()) -> DataFrame:
     return wide.unpivot(list(by), list(names.values()), "cell", "rows")
 
 
-def _downward_chunk() -> Column:
-    """Consecutive score ranges from 1 down to 0."""
-    return F.floor((1 - col("score")) * SCORE_CHUNKS)
+def _falling_counts(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Counts per score with ``falling``, which orders scores from the highest, unknown ones last."""
+    return score_counts(scored, by).withColumn("falling", F.coalesce(-col("score"), F.lit(float("inf"))))
 
 
-def score_curve(scored: DataFrame, by: list[str] = ()) -> DataFrame:
+def score_curve(scored: DataFrame, by: list[str] = (), ranges: int | None = None) -> DataFrame:
     """Per distinct score, the hits and misses among all scores at or above it."""
-    counts, keys = _grouped(score_counts(scored, by), list(by))
-    curve = running_before(
-        counts, keys, [col("score").desc()], _downward_chunk(),
-        {"tp_before": col("pos"), "fp_before": col("neg"), "points_before": F.lit(1)},
+    counts, keys = _grouped(_falling_counts(scored, by), list(by))
+    curve = scan(
+        counts, keys, ["falling"], {"tp_before": col("pos"), "fp_before": col("neg"), "points_before": F.lit(1)}, ranges=ranges
     )
     return curve.select(
-        *by, "score", "pos", "neg", "points_before",
+        *keys, "score", "pos", "neg", "points_before",
         (col("tp_before") + col("pos")).alias("tp"),
         (col("fp_before") + col("neg")).alias("fp"),
     )
 
 
-def _with_totals(curve: DataFrame, by: list[str]) -> DataFrame:
-    """Attach class totals and the number of points; groups with one class have no curve."""
-    totals = curve.groupBy(*by).agg(
+def _with_totals(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach class totals and the number of points of a curve; groups with one class have no curve."""
+    totals = curve.groupBy(*keys).agg(
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.count(F.lit(1)).alias("points")
     )
-    # Without groups the totals are one row.
-    joined = curve.join(totals, list(by)) if by else curve.withColumn("_all", F.lit(0)).join(
-        F.broadcast(totals.withColumn("_all", F.lit(0))), "_all"
-    ).drop("_all")
-    return joined.where((col("positives") > 0) & (col("negatives") > 0))
+    return curve.join(totals, keys).where((col("positives") > 0) & (col("negatives") > 0))
 
 
 def rank_metrics(scored: DataFrame, by: list[str] = ()) -> DataFrame:
     """ROC AUC by rank sum with averaged ties, average precision, Brier score and class sizes."""
-    curve, keys = _grouped(score_curve(scored, by), list(by))
+    curve, keys = score_curve(scored, by), list(by) or ["_all"]
     positives, negatives = F.sum("pos"), F.sum("neg")
     score = col("score")
     # fp counts negatives at or above a score, so wins below it are total minus fp.
@@ -173,10 +168,12 @@ def classification_metrics(scored: DataFrame, by: list[str] = ()) -> DataFrame:
     """All metrics of a scored set at its recommended threshold, one row per group."""
     at_best = confusion_at_best(scored, by).withColumnRenamed("threshold", "recommended_threshold")
     ranks = rank_metrics(scored, by)
-    keys = list(by) or ["_all"]
-    if not by:
-        at_best, ranks = at_best.withColumn("_all", F.lit(0)), ranks.withColumn("_all", F.lit(0))
-    return at_best.join(ranks, keys).select(
+    ranked = [c for c in ranks.columns if c not in by]
+    if by:
+        both = at_best.join(ranks, list(by))
+    else:  # one row each
+        both = at_best.withColumn("_ranks", ranks.select(F.struct(*ranked)).scalar()).select("*", "_ranks.*")
+    return both.select(
         *by,
         "recommended_threshold", "accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc",
         "average_precision", "brier_score", "positive_rate", "positive_prediction_rate", "rows",
@@ -184,19 +181,17 @@ def classification_metrics(scored: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
-def roc_points(scored: DataFrame, by: list[str] = ()) -> DataFrame:
+def roc_points(scored: DataFrame, by: list[str] = (), ranges: int | None = None) -> DataFrame:
     """ROC points by falling score, without points on a straight line, preceded by (0, 0).
 
     ``point`` numbers them from 0; the origin has no threshold. Empty for a one-class group.
     """
-    counts, keys = _grouped(score_counts(scored, by), list(by))
-    order, chunk = [col("score").desc()], _downward_chunk()
-    flagged = neighbours(counts, keys, order, chunk, ["pos", "neg"])
+    counts, keys = _grouped(_falling_counts(scored, by), list(by))
+    flagged = scan(counts, keys, ["falling"], following=["pos", "neg"], ranges=ranges)
     bend = (col("next_pos") != col("pos")) | (col("next_neg") != col("neg"))
-    kept = col("is_first") | F.coalesce(bend, F.lit(True))
-    curve = running_before(
-        flagged.withColumn("kept", kept), keys, order, chunk,
-        {"tp": col("pos"), "fp": col("neg"), "point": kept.cast("int")},
+    curve = scan(
+        flagged.withColumnRenamed("is_first", "highest").withColumn("kept", col("highest") | F.coalesce(bend, F.lit(True))),
+        keys, ["falling"], {"tp": col("pos"), "fp": col("neg"), "point": col("kept").cast("int")},
     )
     with_totals = _with_totals(curve, keys)
     points = with_totals.where("kept").select(
@@ -206,7 +201,7 @@ def roc_points(scored: DataFrame, by: list[str] = ()) -> DataFrame:
         ((col("tp") + col("pos")) / col("positives")).alias("true_positive_rate"),
         col("score").alias("threshold"),
     )
-    origin = with_totals.where("is_first").select(
+    origin = with_totals.where("highest").select(
         *by,
         F.lit(0).cast("bigint").alias("point"),
         F.lit(0.0).alias("false_positive_rate"),
@@ -218,7 +213,7 @@ def roc_points(scored: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def pr_points(scored: DataFrame, by: list[str] = ()) -> DataFrame:
     """Precision and recall by rising score, ended by (1, 0) without a threshold."""
-    curve = _with_totals(score_curve(scored, by), list(by))
+    curve = _with_totals(score_curve(scored, by), list(by) or ["_all"])
     point = col("points") - 1 - col("points_before")
     points = curve.select(
         *by,

@@ -11,12 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import col
 
 from cartwright.functions import segments as seg
-from cartwright.operators.running import running_before, trailing_count
+from cartwright.operators.running import scan, trailing_count
 from cartwright.plans.marts import product_categories
 from cartwright.schemas import DEFAULT_CATEGORIES, FEATURE_COLUMNS, TARGET_COLUMN
 
-# order_number is dense per user, so a chunk holds at most this many orders.
-ORDERS_PER_CHUNK = 65_536
 STEP = ["user_id", "order_number"]
 
 
@@ -65,15 +63,12 @@ def first_meetings(facts: DataFrame, lines: DataFrame, products: DataFrame) -> D
     )
 
 
-def customer_day_number(facts: DataFrame, orders_per_chunk: int = ORDERS_PER_CHUNK) -> DataFrame:
+def customer_day_number(facts: DataFrame, ranges: int | None = None) -> DataFrame:
     """Days since the user's first order, this order's gap included."""
     gap = F.coalesce("days_since_prior_order", F.lit(0.0))
-    before = running_before(
-        facts.select(*STEP, "order_id", gap.alias("gap")),
-        ["user_id"],
-        [col("order_number")],
-        F.floor(col("order_number") / orders_per_chunk),
-        {"days_before": col("gap")},
+    before = scan(
+        facts.withColumn("gap", gap), ["user_id"], ["order_number", "order_id"], sums={"days_before": col("gap")},
+        keep=[*STEP, "order_id", "gap"], ranges=ranges,
     )
     return before.select(*STEP, "order_id", (col("days_before") + col("gap")).alias("customer_day_number"))
 
@@ -83,7 +78,7 @@ def with_trailing_orders(timeline: DataFrame, days: int = 30) -> DataFrame:
 
     Orders are counted per day first, so a frame holds at most one row per day however many
     orders a user places; orders of the same day are not part of it. Orders without a user are
-    one group.
+    one group. Both sides of the join must read the same day numbers, as those of ``scan`` do.
     """
     per_day = timeline.groupBy("user_id", "customer_day_number").agg(F.count(F.lit(1)).alias("n"))
     near = trailing_count(per_day, ["user_id"], "customer_day_number", "n", reach=days)
@@ -103,7 +98,6 @@ def order_measures() -> dict[str, Column]:
         "p_reordered": col("reordered_item_count"),
         "p_with_reorder": col("has_reordered_items"),
         "p_days": col("gap"),
-        "p_days_squared": col("gap") * col("gap"),
         "p_dow": col("order_dow"),
         "p_dow_known": col("order_dow").isNotNull().cast("int"),
         "p_hour": col("order_hour_of_day"),
@@ -129,7 +123,7 @@ def order_history(
     lines: DataFrame | None = None,
     products: DataFrame | None = None,
     categories=DEFAULT_CATEGORIES,
-    orders_per_chunk: int = ORDERS_PER_CHUNK,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Every order with the features known before it and its label; without ``lines``, the order
     features only."""
@@ -142,9 +136,8 @@ def order_history(
             first_meetings(facts, lines, products), STEP, "left"
         )
         measures |= product_measures(shares)
-    before = running_before(
-        timeline, ["user_id"], [col("order_number")], F.floor(col("order_number") / orders_per_chunk), measures,
-        keep=kept,
+    before = scan(
+        timeline, ["user_id"], ["order_number", "order_id"], sums=measures, spreads={"p_gaps": col("gap")}, keep=kept, ranges=ranges
     )
     before = before.withColumn("customer_day_number", col("p_days") + col("gap"))
 
@@ -152,7 +145,6 @@ def order_history(
         return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
 
     n = col("p_orders")
-    variance = (col("p_days_squared") - col("p_days") * col("p_days") / n) / (n - 1)
     features = [
         "user_id",
         "order_id",
@@ -165,7 +157,7 @@ def order_history(
         ratio("p_reordered", "p_items").alias("reorder_ratio"),
         ratio("p_with_reorder", "p_orders").alias("prior_reorder_order_ratio"),
         ratio("p_days", "p_orders").alias("days_between_orders"),
-        F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).otherwise(0.0).alias(
+        F.when(n > 1, F.sqrt(F.greatest(col("p_gaps.m2") / (n - 1), F.lit(0.0)))).otherwise(0.0).alias(
             "stddev_days_between_orders"
         ),
         col("gap").alias("days_since_last_order"),
@@ -187,23 +179,26 @@ def order_history(
     return with_trailing_orders(before).select(*features)
 
 
+def targets(history: DataFrame) -> DataFrame:
+    """The orders to learn from: of the train split, with observed items and at least one earlier order."""
+    return history.where((col("eval_set") == "train") & (col("item_count") > 0) & (col("total_orders") >= 1))
+
+
 def training_dataset(
     facts: DataFrame,
     lines: DataFrame,
     products: DataFrame,
     categories=DEFAULT_CATEGORIES,
     row_limit: int | None = None,
-    orders_per_chunk: int = ORDERS_PER_CHUNK,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Train-split target orders with observed items and at least one earlier order.
+    """The target orders with all features.
 
     ``row_limit`` keeps the lowest users, as a bounded sorted read would; leave it out to train
     on everything.
     """
-    history = order_history(facts, lines, products, categories, orders_per_chunk)
-    rows = history.where(
-        (col("eval_set") == "train") & (col("item_count") > 0) & (col("total_orders") >= 1)
-    ).select("user_id", "order_id", "order_number", *FEATURE_COLUMNS, TARGET_COLUMN)
+    history = order_history(facts, lines, products, categories, ranges)
+    rows = targets(history).select("user_id", "order_id", "order_number", *FEATURE_COLUMNS, TARGET_COLUMN)
     if row_limit:
         rows = rows.orderBy("user_id", "order_number").limit(row_limit)
     return rows

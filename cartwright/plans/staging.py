@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def stg_orders(raw: DataFrame) -> DataFrame:
+def stg_orders(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
     return raw.select(
         F.col("order_id").cast("bigint"),
         F.col("user_id").cast("bigint"),
@@ -14,6 +14,7 @@ def stg_orders(raw: DataFrame) -> DataFrame:
         F.col("order_dow").cast("int"),
         F.col("order_hour_of_day").cast("int"),
         F.col("days_since_prior_order").cast("double"),
+        *keep,
     )
 
 

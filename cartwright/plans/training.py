@@ -13,8 +13,9 @@ from pyspark.sql.functions import col
 
 from cartwright.operators import metrics as m
 from cartwright.operators.quality import QualityError
-from cartwright.operators.running import running_before, settle
+from cartwright.operators.running import scan
 from cartwright.schemas import FEATURE_COLUMNS, FEATURE_UPPER_BOUNDS, TARGET_COLUMN
+from cartwright.session import settle
 
 TEST_SHARE = 0.2
 SEED = 42
@@ -50,13 +51,14 @@ def training_matrix(df: DataFrame, target: str = TARGET_COLUMN) -> DataFrame:
 
 
 def stratified_split(
-    df: DataFrame, label: str = "label", key: str = "order_id", share: float = TEST_SHARE, seed: int = SEED
+    df: DataFrame, label: str = "label", key: str = "order_id", share: float = TEST_SHARE, seed: int = SEED,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``is_test``: per class, the first ``ceil(share * n)`` rows in md5 order of the key.
 
-    Repeatable on any partitioning. The hash prefix is the chunk, so a class of any size is
-    ranked in 4096 even pieces. Classes are kept apart only if the smallest has two rows.
+    Repeatable on any partitioning. Classes are kept apart only if the smallest has two rows.
     """
+    columns, df = df.columns, settle(df)
     smallest = (
         df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n")).scalar()
     )
@@ -65,15 +67,11 @@ def stratified_split(
         "_stratum": F.when(smallest >= 2, col(label)).otherwise(-1),
         "_mixed": mixed,
     })
-    ranked = running_before(
-        rows, ["_stratum"], [col("_mixed"), col(key)],
-        F.conv(F.substring("_mixed", 1, 3), 16, 10).cast("int"),
-        {"_place": F.lit(1)},
-    )
+    ranked = scan(rows, ["_stratum"], ["_mixed", key], {"_place": F.lit(1)}, ranges=ranges)
     # Two classes, so two rows at most.
     sizes = ranked.groupBy("_stratum").agg(F.ceil(F.count(F.lit(1)) * F.lit(share)).alias("_quota"))
     return ranked.join(F.broadcast(sizes), "_stratum").select(
-        *df.columns, (col("_place") < col("_quota")).alias("is_test")
+        *columns, (col("_place") < col("_quota")).alias("is_test")
     )
 
 

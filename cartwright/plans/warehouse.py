@@ -6,9 +6,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cartwright.operators.running import HEAVY_GROUP_ROWS
+from cartwright.operators.running import RANGE
 from cartwright.plans import marts, staging
-from cartwright.plans.history import training_dataset
+from cartwright.plans.history import order_history, targets, training_dataset
 from cartwright.session import settle
 from cartwright.sources import shop
 
@@ -21,14 +21,12 @@ class Warehouse:
     def __init__(self, spark: SparkSession, root: str, categories=shop.SHOP_CATEGORIES):
         self.spark, self.root, self.categories = spark, root, categories
         self._tables: dict[str, DataFrame] = {}
-        self._stored: set[str] = set()
 
     def materialise(self, folder: str) -> Warehouse:
         for name in MATERIALISED:
             path = f"{folder}/{name}"
             getattr(self, name).write.mode("overwrite").parquet(path)
             self.__dict__[name] = self.spark.read.parquet(path)
-            self._stored.add(name)
         return self
 
     def raw(self, name: str) -> DataFrame:
@@ -49,9 +47,15 @@ class Warehouse:
     def raw_order_products(self) -> DataFrame:
         return shop.raw_order_products(self.raw("lineitem"))
 
+    @cached_property
+    def timelines(self) -> DataFrame:
+        """Staged orders with their range of (user, order number)."""
+        numbered = shop.number_orders(self.order_base)
+        return staging.stg_orders(numbered, keep=[RANGE])
+
     @cached_property
     def stg_orders(self) -> DataFrame:
-        return staging.stg_orders(shop.number_orders(self.order_base))
+        return self.timelines.drop(RANGE)
 
     @cached_property
     def stg_order_products(self) -> DataFrame:
@@ -72,21 +76,20 @@ class Warehouse:
         return marts.fct_orders(self.stg_orders, self.stg_order_products)
 
     @cached_property
-    def small(self) -> bool:
-        """Whether so few orders exist that computing a part twice is cheaper than storing it."""
-        return self.order_base.count() <= HEAVY_GROUP_ROWS
+    def dealt_facts(self) -> DataFrame:
+        """The order fact with the ranges of its timelines, so that scans along them need no new dealing."""
+        return marts.fct_orders(self.timelines, self.stg_order_products)
 
     @cached_property
     def stored_facts(self) -> DataFrame:
-        """The order fact as a table, for plans that read it several times."""
-        return self.fct_orders if self.small or "fct_orders" in self._stored else settle(self.fct_orders)
+        """``dealt_facts`` as a table, for plans that read it several times."""
+        return settle(self.dealt_facts)
 
     @cached_property
     def shelves(self) -> DataFrame:
         """Product attributes as a table: its file size tells the planner whether to broadcast it, so
         the lines are not shuffled by product first to find out."""
-        attributes = marts.product_categories(self.stg_products)
-        return attributes if self.small else settle(attributes)
+        return settle(marts.product_categories(shop.shelves(self.raw("part"))))
 
     @cached_property
     def dim_products(self) -> DataFrame:
@@ -118,7 +121,8 @@ class Warehouse:
 
     @cached_property
     def scored(self) -> DataFrame:
-        """Target orders with a deterministic score in [0, 1]: the prior reorder ratio."""
-        return settle(self.training.select(
+        """Target orders with a deterministic score in [0, 1]: the prior reorder ratio, an order feature."""
+        rows = targets(order_history(self.dealt_facts))
+        return settle(rows.select(
             "user_id", "order_id", F.col("will_reorder").alias("label"), F.col("reorder_ratio").alias("score")
         ))

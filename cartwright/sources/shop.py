@@ -6,9 +6,9 @@ user is derived: orders are numbered by date, day gaps are tenths of the date di
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cartwright.operators.running import HEAVY_GROUP_ROWS, heavy_keys
+from cartwright.operators.running import RANGE, scan
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -32,51 +32,24 @@ def order_base(orders: DataFrame) -> DataFrame:
     )
 
 
-def number_orders(base: DataFrame, heavy_rows: int = HEAVY_GROUP_ROWS) -> DataFrame:
-    """Add order_number and days_since_prior_order.
-
-    Ordinary users are numbered in one task each. A user with too many orders is numbered per
-    day; the days' counts and last dates then tell where each day starts. That way is planned
-    only where the table is large enough to hold such a user.
-    """
-    wanted = ["order_id", "user_id", "eval_set", "order_number", "order_dow", "order_hour_of_day",
-              "days_since_prior_order", "order_date"]
-
-    def finish(df: DataFrame, number: Column, previous: Column) -> DataFrame:
-        gap = F.floor(F.datediff("order_date", previous) / 10).cast("double")
-        return df.withColumns(
-            {"order_number": number.cast("int"), "days_since_prior_order": gap}
-        ).select(*wanted)
-
-    if base.count() <= heavy_rows:
-        timeline = Window.partitionBy("user_id").orderBy("order_date", "order_id")
-        return finish(base, F.row_number().over(timeline), F.lag("order_date").over(timeline))
-
-    heavy = heavy_keys(base, "user_id", heavy_rows).withColumn("_heavy", F.lit(True))
-    marked = base.join(F.broadcast(heavy), "user_id", "left").withColumn(
-        "_chunk", F.when(F.col("_heavy"), F.col("order_date")).otherwise(F.lit("1970-01-01").cast("date"))
+def number_orders(base: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Add order_number and days_since_prior_order along each user's dates. Orders without a user are
+    one timeline; a user, or a day of one, may hold any share of the orders. ``_range`` stays, for
+    further scans along the timelines."""
+    numbered = scan(
+        base, ["user_id"], ["order_date", "order_id"], sums={"_before": F.lit(1)}, previous=["order_date"], ranges=ranges,
+        keep=["order_id", "user_id", "eval_set", "order_dow", "order_hour_of_day", "order_date"],
     )
-    local = Window.partitionBy("user_id", "_chunk").orderBy("order_date", "order_id")
-    numbered = marked.withColumns({
-        "_rank": F.row_number().over(local),
-        "_previous": F.lag("order_date").over(local),
-    })
-    days = Window.partitionBy("user_id").orderBy("order_date")
-    starts = (
-        base.join(F.broadcast(heavy), "user_id", "left_semi")
-        .groupBy("user_id", "order_date")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            "user_id",
-            F.col("order_date").alias("_chunk"),
-            F.sum("_n").over(days.rowsBetween(Window.unboundedPreceding, -1)).alias("_offset"),
-            F.lag("order_date").over(days).alias("_last_day"),
-        )
-    )
-    return finish(
-        numbered.join(starts, ["user_id", "_chunk"], "left"),
-        F.col("_rank") + F.coalesce("_offset", F.lit(0)),
-        F.coalesce("_previous", "_last_day"),
+    return numbered.select(
+        "order_id",
+        "user_id",
+        "eval_set",
+        (F.col("_before") + 1).cast("int").alias("order_number"),
+        "order_dow",
+        "order_hour_of_day",
+        F.floor(F.datediff("order_date", "previous_order_date") / 10).cast("double").alias("days_since_prior_order"),
+        "order_date",
+        RANGE,
     )
 
 
@@ -102,6 +75,11 @@ def raw_products(part: DataFrame) -> DataFrame:
     )
 
 
+def shelves(part: DataFrame) -> DataFrame:
+    """Products with their attributes, straight from their own rows."""
+    return part.select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("department"), F.col("p_type").alias("aisle"))
+
+
 def raw_aisles(part: DataFrame) -> DataFrame:
     names = part.select(F.col("p_type").alias("aisle")).distinct()
     return names.select(_lookup_id(F.col("aisle")).alias("aisle_id"), "aisle")

@@ -46,9 +46,8 @@ def test_rank_metrics_by_brute_force(spark):
     assert got.brier_score == pytest.approx(sum((s - y) ** 2 for y, s in rows) / len(rows))
 
 
-@pytest.mark.parametrize("plain_rows", [0, 10**6])
-def test_roc_points_drop_straight_runs(spark, monkeypatch, plain_rows):
-    monkeypatch.setattr(running, "HEAVY_GROUP_ROWS", plain_rows)
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_roc_points_drop_straight_runs(spark, ranges):
     rows, df = scored(spark)
     p, n = sum(y for y, _ in rows), sum(1 - y for y, _ in rows)
     points = []
@@ -62,7 +61,7 @@ def test_roc_points_drop_straight_runs(spark, monkeypatch, plain_rows):
     wanted = [(0.0, 0.0, None)] + [(f / n, t / p, s) for f, t, s in kept]
     got = [
         (r.false_positive_rate, r.true_positive_rate, r.threshold)
-        for r in m.roc_points(df).orderBy("point").collect()
+        for r in m.roc_points(df, ranges=ranges).orderBy("point").collect()
     ]
     assert got == wanted
 
@@ -91,13 +90,12 @@ def test_scaled_scores(spark):
     assert [r.score for r in m.scale_scores(flat).collect()] == [0.5, 0.5]
 
 
-def test_split_is_stratified_and_repeatable(spark, monkeypatch):
+def test_split_is_stratified_and_repeatable(spark):
     df = spark.range(200).select(F.col("id").alias("order_id"), (F.col("id") % 10 == 0).cast("int").alias("label"))
     first = tr.stratified_split(df)
     sizes = {(r.label, r.is_test): r["count"] for r in first.groupBy("label", "is_test").count().collect()}
     assert sizes == {(0, True): 36, (0, False): 144, (1, True): 4, (1, False): 16}
-    monkeypatch.setattr(running, "HEAVY_GROUP_ROWS", 0)
-    assert tr.stratified_split(df.repartition(7)).exceptAll(first).count() == 0
+    assert tr.stratified_split(df.repartition(7), ranges=9).exceptAll(first).count() == 0
     lonely = df.withColumn("label", (F.col("order_id") == 5).cast("int"))
     assert tr.stratified_split(lonely).where("is_test").count() == 40
 

@@ -1,95 +1,127 @@
-"""Chunked running totals against brute force, with a hot group and with forced chunking."""
+"""Prefix scans over ranges against brute force: hot groups, a NULL group, crowded days and scores."""
 
 import random
+import statistics
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cartwright.operators.running import heavy_keys, neighbours, running_before, trailing_count
+from cartwright.operators import metrics
+from cartwright.operators.running import RANGE, scan, trailing_count
 from cartwright.plans.history import order_history
 from cartwright.sources.shop import number_orders
 
+SKEWED = "id int, user int, number int, gap double, items int"
+
 
 def skewed(n=600):
     rng = random.Random(7)
     rows, numbers = [], {}
     for i in range(n):
-        user = 0 if rng.random() < 0.4 else rng.randint(1, 40)
+        user = 0 if rng.random() < 0.4 else None if rng.random() < 0.1 else rng.randint(1, 40)
         numbers[user] = numbers.get(user, 0) + 1
-        rows.append((i, user, numbers[user], float(rng.randint(0, 9)), rng.randint(0, 5)))
-    return pd.DataFrame(rows, columns=["id", "user", "number", "gap", "items"])
-
-
-@pytest.mark.parametrize("plain_rows", [0, 10**6])
-def test_running_before(spark, plain_rows):
-    data = skewed()
-    out = running_before(
-        spark.createDataFrame(data), ["user"], [F.col("number")], F.floor(F.col("number") / 7),
-        {"gap_before": F.col("gap"), "n": F.lit(1)}, plain_rows=plain_rows,
-    ).toPandas().sort_values("id")
-    by_user = data.sort_values("number").groupby("user")["gap"]
-    wanted = (by_user.cumsum() - data["gap"]).reindex(data.index)
-    assert out["gap_before"].tolist() == wanted.tolist()
-    assert out["n"].tolist() == (data["number"] - 1).tolist()
-
-
-@pytest.mark.parametrize("plain_rows", [0, 10**6])
-def test_neighbours(spark, plain_rows):
-    data = skewed()
-    out = neighbours(
-        spark.createDataFrame(data), ["user"], [F.col("number")], F.floor(F.col("number") / 7), ["items"],
-        plain_rows=plain_rows,
-    ).toPandas().sort_values("id")
-    wanted = data.sort_values("number").groupby("user")["items"].shift(-1).reindex(data.index)
-    assert out["next_items"].fillna(-1).tolist() == wanted.fillna(-1).tolist()
-    assert out["is_first"].tolist() == (data["number"] == 1).tolist()
+        rows.append((i, user, numbers[user], 1e9 + rng.randint(0, 9), rng.choice([None, 1, 2, 3])))
+    return rows
+
+
+@pytest.mark.parametrize("ranges", [1, 13, None])
+def test_scan(spark, ranges):
+    rows = skewed()
+    out = scan(
+        spark.createDataFrame(rows, SKEWED).repartition(5), ["user"], ["number"], {"items_before": F.col("items"), "n": F.lit(1)},
+        {"gaps": F.col("gap")}, previous=["items", "id"], following=["items"], keep=["id"], ranges=ranges,
+    )
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[1], []).append(row)
+    for group in groups.values():
+        for place, (i, _, _, _, _) in enumerate(group):
+            r, past = got[i], group[:place]
+            assert r.items_before == sum(x[4] or 0 for x in past) and r.n == place and r.is_first == (place == 0)
+            assert (r.previous_items, r.previous_id) == ((past[-1][4], past[-1][0]) if past else (None, None))
+            assert r.next_items == (group[place + 1][4] if place + 1 < len(group) else None)
+            gaps = [x[3] for x in past]
+            assert r.gaps.n == place
+            assert r.gaps.m2 == pytest.approx(statistics.pvariance(gaps) * place if gaps else 0.0, rel=1e-6, abs=1e-4)
+
+
+def test_a_scan_takes_over_the_ranges_of_an_earlier_one(spark):
+    first = scan(spark.createDataFrame(skewed(), SKEWED), ["user"], ["number"], {"n": F.lit(1)}, ranges=9)
+    second = scan(first.withColumn("odd", F.col("n") % 2), ["user"], ["number"], {"odd_before": F.col("odd")})
+    assert second.where("odd_before <> floor(n / 2)").count() == 0 and second.select(RANGE).distinct().count() > 3
+
+
+def test_scan_of_nothing(spark):
+    assert scan(spark.createDataFrame([], SKEWED), ["user"], ["number"], {"n": F.lit(1)}, previous=["gap"], following=["gap"]).collect() == []
+
+
+def test_ranges_are_even_where_scores_are_crowded(spark):
+    """All but a few scores lie within a thousandth of the range, under one key."""
+    scores = spark.range(200_000).select(
+        F.lit(0).alias("key"), F.when(F.col("id") % 1000 == 0, F.rand(1)).otherwise(0.5 + F.rand(2) / 1000).alias("score")
+    )
+    dealt = scan(scores, ["key"], ["score"], {"n": F.lit(1)}, ranges=50)
+    sizes = [r["count"] for r in dealt.groupBy(RANGE).count().collect()]
+    assert sum(sizes) == 200_000 and max(sizes) <= 3 * 200_000 / 50
 
 
 @pytest.mark.parametrize("width", [31, 4096])
 def test_trailing_count(spark, width):
     rng = random.Random(3)
-    days = sorted({rng.randint(0, 400) + rng.choice([0.0, 0.5]) for _ in range(150)})
-    data = pd.DataFrame({"user": 1, "day": [float(d) for d in days], "n": [rng.randint(1, 4) for _ in days]})
-    out = trailing_count(spark.createDataFrame(data), ["user"], "day", "n", reach=30, chunk_width=width)
-    got = {r.day: r.trailing for r in out.collect()}
-    wanted = {
-        d: int(data[(data.day >= d - 30) & (data.day <= d - 1)].n.sum()) for d in data.day
-    }
-    assert got == wanted
-
+    rows = []
+    for user in (None, 1, 2):
+        days = sorted({rng.randint(0, 400) + rng.choice([0.0, 0.5]) for _ in range(150 if user == 1 else 8)})
+        rows += [(user, float(d), rng.randint(1, 4)) for d in days]
+    out = trailing_count(spark.createDataFrame(rows, "user int, day double, n int"), ["user"], "day", "n", reach=30, width=width)
+    wanted = {(u, d): sum(n for v, e, n in rows if v == u and d - 30 <= e <= d - 1) for u, d, _ in rows}
+    assert {(r.user, r.day): r.trailing for r in out.collect()} == wanted
 
-def test_heavy_keys_are_few_and_hot(spark):
-    df = spark.createDataFrame(skewed())
-    assert [r.user for r in heavy_keys(df, "user", min_rows=50).collect()] == [0]
-    assert heavy_keys(df, "user", min_rows=10**6).count() == 0
 
-
-def test_numbering_a_hot_user_per_day_changes_nothing(spark):
+def test_numbering_does_not_depend_on_the_ranges(spark):
     from cartwright.plans.warehouse import Warehouse
 
     base = Warehouse(spark, "/root/testdata/sf0.001").order_base
-    hot = base.withColumn("user_id", F.when(F.col("order_id") % 3 == 0, 0).otherwise(F.col("user_id")))
-    plain, split = number_orders(hot), number_orders(hot, heavy_rows=8)
-    assert plain.exceptAll(split).count() == 0 and split.count() == plain.count()
-
-
-def test_history_in_chunks_equals_history_in_one(spark, monkeypatch):
-    from cartwright.operators import running
+    user = F.when(F.col("order_id") % 3 == 0, 0).when(F.col("order_id") % 3 == 1, F.col("user_id"))
+    day = F.when(F.col("order_id") % 2 == 0, F.lit("1995-03-01").cast("date")).otherwise(F.col("order_date"))
+    hot = base.withColumns({"user_id": user, "order_date": day})
+    one, many = (number_orders(hot, n).drop(RANGE) for n in (1, 23))
+    assert one.exceptAll(many).count() == 0 and many.count() == one.count()
+    timelines = {}
+    for r in hot.collect():
+        timelines.setdefault(r.user_id, []).append((r.order_date, r.order_id))
+    wanted = {}
+    for timeline in timelines.values():
+        before = None
+        for place, (date, order_id) in enumerate(sorted(timeline), 1):
+            wanted[order_id] = (place, None if before is None else float((date - before).days // 10))
+            before = date
+    assert {r.order_id: (r.order_number, r.days_since_prior_order) for r in many.collect()} == wanted
+
+
+def test_history_does_not_depend_on_the_ranges(spark):
     from cartwright.plans.warehouse import Warehouse
 
     w = Warehouse(spark, "/root/testdata/sf0.001")
-    whole = order_history(w.fct_orders, w.stg_order_products, w.stg_products, w.categories)
-    monkeypatch.setattr(running, "HEAVY_GROUP_ROWS", 0)
-    cut = order_history(
-        w.fct_orders, w.stg_order_products, w.stg_products, w.categories, orders_per_chunk=3
+    one, many = (
+        order_history(w.stored_facts.drop(RANGE), w.stg_order_products, w.stg_products, w.categories, ranges=n) for n in (1, 29)
     )
     rounded = [
-        df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-        for df in (whole, cut)
+        df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]) for df in (one, many)
     ]
     assert rounded[0].exceptAll(rounded[1]).count() == 0
-    assert whole.count() == cut.count() == 1500
+    assert one.count() == many.count() == 1500
+
+
+def test_curves_of_groups_do_not_depend_on_the_ranges(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), int(rng.random() < 0.3), round(rng.random(), 2)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "model string, label int, score double")
+    for made in (metrics.roc_points, metrics.score_curve):
+        one, many = (made(df, ["model"], ranges=n) for n in (1, 11))
+        assert RANGE not in one.columns
+        assert one.exceptAll(many).count() == many.exceptAll(one).count() == 0 and one.count() > 100
 
 
 def test_history_keeps_orders_without_user_and_skips_unknown_weekdays(spark):
