@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.functions import col
 
 from cartwright.functions import segments as seg, text
 from cartwright.operators import metrics as m, quality as dq
-from cartwright.plans import decisions as dec, history, incremental, insights, marts, monitoring as mon
+from cartwright.plans import decisions as dec, history, incremental, insights, marts, model_tables as mt, monitoring as mon
 from cartwright.plans import training as tr
 from cartwright.plans.warehouse import Warehouse
 from cartwright.schemas import FEATURE_COLUMNS, MODEL_CONSTRAINTS
@@ -265,11 +266,7 @@ def _(w):
 
 @query("exact_distinct")
 def _(w):
-    return w.stg_order_products.agg(
-        F.count_distinct("order_id").alias("orders"),
-        F.count_distinct("product_id").alias("products"),
-        F.count_distinct("order_id", "product_id").alias("pairs"),
-    )
+    return insights.exact_distinct(w.stg_order_products)
 
 
 @query("monthly_frequency")
@@ -748,6 +745,78 @@ def _(w):
     return tr.batch_score(model, rows).select("user_id", "order_id", "label", "reorder_probability")
 
 
+# Fixed models in the form of stored ones, where results must be exact: a forest of two trees, three boosted
+# steps and a linear model. Nodes are (tree, weight, node, feature, threshold, left, right, value, gain, rows).
+_FOREST_NODES = [
+    (0, 1.0, 0, "reorder_ratio", 0.45, 1, 4, 0.55, 0.12, 200.0),
+    (0, 1.0, 1, "days_between_orders", 14.0, 2, 3, 0.35, 0.05, 90.0),
+    (0, 1.0, 2, None, None, -1, -1, 0.48, None, 50.0),
+    (0, 1.0, 3, None, None, -1, -1, 0.21, None, 40.0),
+    (0, 1.0, 4, "total_orders", 6.0, 5, 6, 0.72, 0.04, 110.0),
+    (0, 1.0, 5, None, None, -1, -1, 0.64, None, 60.0),
+    (0, 1.0, 6, None, None, -1, -1, 0.83, None, 50.0),
+    (1, 1.0, 0, "unique_products", 12.0, 1, 2, 0.5, 0.08, 200.0),
+    (1, 1.0, 1, None, None, -1, -1, 0.37, None, 120.0),
+    (1, 1.0, 2, "avg_basket_size", 4.5, 3, 4, 0.69, 0.06, 80.0),
+    (1, 1.0, 3, None, None, -1, -1, 0.61, None, 30.0),
+    (1, 1.0, 4, None, None, -1, -1, 0.74, None, 50.0),
+]
+_BOOSTED_NODES = [
+    (0, 1.0, 0, "prior_reorder_order_ratio", 0.6, 1, 2, 0.1, 0.3, 200.0),
+    (0, 1.0, 1, None, None, -1, -1, -0.7, None, 100.0),
+    (0, 1.0, 2, None, None, -1, -1, 0.9, None, 100.0),
+    (1, 0.05, 0, "customer_tenure_days", 90.0, 1, 2, 0.0, 0.2, 200.0),
+    (1, 0.05, 1, None, None, -1, -1, -1.5, None, 70.0),
+    (1, 0.05, 2, "weekend_order_ratio", 0.3, 3, 4, 0.6, 0.1, 130.0),
+    (1, 0.05, 3, None, None, -1, -1, 1.2, None, 60.0),
+    (1, 0.05, 4, None, None, -1, -1, 0.2, None, 70.0),
+    (2, 0.05, 0, None, None, -1, -1, 0.4, None, 200.0),
+]
+_LINEAR_TERMS = [
+    ("reorder_ratio", 0.8, 0.5, 0.2),
+    ("avg_basket_size", -0.3, 4.0, 1.5),
+    ("avg_order_dow", 0.25, 3.0, 0.0),
+    ("days_since_last_order", -0.4, 12.0, 8.0),
+    (None, 0.15, 0.0, 1.0),
+]
+
+
+def _fixed_models(w: Warehouse) -> dict[str, DataFrame]:
+    return {
+        mt.FOREST: w.spark.createDataFrame(_FOREST_NODES, mt.NODE),
+        mt.BOOSTED: w.spark.createDataFrame(_BOOSTED_NODES, mt.NODE),
+        mt.LINEAR: w.spark.createDataFrame(_LINEAR_TERMS, mt.TERM),
+    }
+
+
+def _fixed_scores(w: Warehouse) -> DataFrame:
+    """Training rows scored by every fixed model: model_name, label, and score to nine places, so equal ones tie."""
+    rows = tr.training_matrix(w.training)
+    for kind, table in _fixed_models(w).items():
+        rows = mt.score(kind, table, rows, f"by_{kind}")
+    return rows.select("user_id", "order_id", "label", F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("model_name"), F.round(f"by_{kind}", 9).alias("score")) for kind in _fixed_models(w)
+    ])))
+
+
+@query("batch_score_by_table")
+def _(w):
+    return _fixed_scores(w)
+
+
+@query("candidate_comparison")
+def _(w):
+    return tr.compare_models(settle(_fixed_scores(w)))
+
+
+@query("importance_by_table")
+def _(w):
+    """Shares within a fixed model, beside the mean of the feature over the training rows."""
+    means = tr.training_matrix(w.training).agg(*[F.avg(c).alias(c) for c in FEATURE_COLUMNS]).unpivot([], FEATURE_COLUMNS, "feature", "mean")
+    shares = [mt.importance(k, t).withColumn("model_name", F.lit(k)) for k, t in _fixed_models(w).items()]
+    return reduce(DataFrame.unionByName, shares).join(means, "feature")
+
+
 # Monitoring -------------------------------------------------------------------------------------
 
 

@@ -434,6 +434,30 @@ _PARTS["spend"] = """
     from customer left join orders on o_custkey = c_custkey group by c_custkey"""
 
 
+# The fixed models of the catalogue, written as nested cases.
+_FIXED = {
+    "forest": """((case when reorder_ratio <= 0.45 then if(days_between_orders <= 14, 0.48, 0.21)
+            else if(total_orders <= 6, 0.64, 0.83) end)::double
+        + (case when unique_products <= 12 then 0.37 else if(avg_basket_size <= 4.5, 0.61, 0.74) end)::double) / 2""",
+    "boosted": """1 / (1 + exp(-2 * (if(prior_reorder_order_ratio <= 0.6, -0.7, 0.9)::double
+        + 0.05::double * (case when customer_tenure_days <= 90 then -1.5 else if(weekend_order_ratio <= 0.3, 1.2, 0.2) end)::double
+        + 0.05::double * 0.4::double)))""",
+    "linear": """1 / (1 + exp(-(0.15::double + 0.8::double * (reorder_ratio - 0.5) / 0.2::double
+        - 0.3::double * (avg_basket_size - 4) / 1.5::double - 0.4::double * (days_since_last_order - 12) / 8)))""",
+}
+_PARTS["scored_fixed"] = " union all ".join(
+    f"select '{name}' as g, user_id, order_id, will_reorder as label, round(({sql})::double, 9) as score from train" for name, sql in _FIXED.items()
+)
+# Gain times rows of the splits, in the forest as a share of each tree's; absolute coefficients.
+_PARTS["fixed_shares"] = """
+    select * from (values
+        ('forest', 'reorder_ratio', 24.0 / 32.9), ('forest', 'days_between_orders', 4.5 / 32.9), ('forest', 'total_orders', 4.4 / 32.9),
+        ('forest', 'unique_products', 16.0 / 20.8), ('forest', 'avg_basket_size', 4.8 / 20.8),
+        ('boosted', 'prior_reorder_order_ratio', 60.0), ('boosted', 'customer_tenure_days', 40.0), ('boosted', 'weekend_order_ratio', 13.0),
+        ('linear', 'reorder_ratio', 0.8), ('linear', 'avg_basket_size', 0.3), ('linear', 'avg_order_dow', 0.25), ('linear', 'days_since_last_order', 0.4)
+    ) t(model_name, feature, value)"""
+
+
 def _with(sql: str, **given: str) -> str:
     """Put the building blocks that ``sql`` names, and those they name, in front of it."""
     parts = {**_PARTS, **given}
@@ -481,6 +505,7 @@ _BASE_STATS = "avg_total_orders avg_reorder_ratio avg_unique_products avg_days_b
 _ONE = {"scored": _PARTS["scored_one"]}
 _TWO = {"scored": _PARTS["scored_two"]}
 _RUNS = {"scored": _PARTS["scored_runs"]}
+_MODELS_OF_TABLES = {"scored": _PARTS["scored_fixed"]}
 
 
 def _groups(a: int, b: int, c: int) -> dict[str, str]:
@@ -804,6 +829,17 @@ ORACLE: dict[str, str] = {
         "select g as model_name, accuracy, balanced_accuracy, precision, recall, f1, roc_auc, "
         "recommended_threshold, positive_prediction_rate, average_precision, brier_score from metrics",
         f"{_ALL_RATES} recommended_threshold positive_prediction_rate", **_TWO),
+    "batch_score_by_table": _sql(
+        "select g as model_name, user_id, order_id, label, score from scored_fixed", "score"),
+    "candidate_comparison": _sql(
+        "select g as model_name, accuracy, balanced_accuracy, precision, recall, f1, roc_auc, "
+        "recommended_threshold, positive_prediction_rate, average_precision, brier_score from metrics",
+        f"{_ALL_RATES} recommended_threshold positive_prediction_rate", **_MODELS_OF_TABLES),
+    "importance_by_table": _sql(
+        "select m.model_name, f.feature, coalesce(s.value, 0) / sum(coalesce(s.value, 0)) over (partition by m.model_name) as importance, "
+        "f.mean from (values ('forest'), ('boosted'), ('linear')) m(model_name) "
+        "join (select feature, avg(v) as mean from long_features group by feature) f on true "
+        "left join fixed_shares s on s.model_name = m.model_name and s.feature = f.feature", "importance mean"),
     "metric_gap_flag": _sql(
         "select g as model_name, accuracy - balanced_accuracy as metric_gap, "
         "accuracy - balanced_accuracy >= 0.15 or positive_rate >= 0.8 as metric_gap_warning from metrics",

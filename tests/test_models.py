@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartwright.functions import text
-from cartwright.operators import metrics as m, running
-from cartwright.plans import decisions as dec, monitoring as mon, training as tr
+from cartwright.operators import metrics as m
+from cartwright.plans import decisions as dec, insights, model_tables as mt, monitoring as mon, training as tr
 from cartwright.schemas import FEATURE_COLUMNS, RUN_HISTORY_SCHEMA, TRACKED_METRICS
 from cartwright.sources import files
 
@@ -145,6 +145,22 @@ def test_fit_score_save_and_load(spark, tmp_path):
         tr.batch_score(loaded, rows.drop("unique_aisles"))
 
 
+def test_stored_models_score_and_explain_as_tables(spark, tmp_path):
+    rows = tr.training_matrix(matrix_rows(spark))
+    models, _ = tr.fit_candidates(rows, scale=0.05)
+    kinds = {"random_forest": mt.FOREST, "logistic_regression": mt.LINEAR, "gradient_boosting": mt.BOOSTED}
+    for name, model in models.items():
+        tr.save_model(model, f"{tmp_path}/{name}")
+        kind, table = mt.stored_model(spark, f"{tmp_path}/{name}")
+        assert kind == kinds[name]
+        both = mt.score(kind, table, tr.probability_scores(model, rows).withColumnRenamed("score", "fitted"))
+        worst = both.agg(F.max(F.abs(F.col("score") - F.col("fitted"))), F.count("score")).first()
+        assert worst[0] < 1e-9 and worst[1] == 240
+        shares = {r.feature: r.importance for r in mt.importance(kind, table).collect()}
+        wanted = {r.feature: r.importance for r in tr.feature_importance(model, spark).collect()}
+        assert shares == pytest.approx(wanted, abs=1e-9)
+
+
 def test_range_contract(spark):
     df = spark.createDataFrame([(-1.0, 0.5), (3.0, 1.5)], "total_orders double, reorder_ratio double")
     assert {r.feature: r.violations for r in tr.range_violations(df).collect()} == {
@@ -256,6 +272,15 @@ def test_zero_falls_through_and_supplied_signal_is_overridden(spark):
     assert (counts.anomalies, counts.alerts, counts.recommendations) == (2, 0, 1)
 
 
+def test_exact_distinct_counts_ids_once(spark):
+    rows = [(1, 1), (1, 1), (1, 2), (40_000, 1), (40_000, None), (None, 3), (2**40, 5)]
+    got = insights.exact_distinct(spark.createDataFrame(rows, "order_id long, product_id long")).first()
+    assert (got.orders, got.products, got.pairs) == (3, 4, 4)
+    assert insights.exact_distinct(spark.createDataFrame([], "order_id long, product_id long")).first() == (0, 0, 0)
+    plan = insights.exact_distinct(spark.createDataFrame(rows, "order_id long, product_id long"))._jdf.queryExecution().toString()
+    assert "Expand" not in plan
+
+
 def test_metric_text(spark):
     values = [" 1,234 ", "12%", "abc%", "n/a", None, "1d", "-0.5", "1e3", ".5", "%", ""]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select(
