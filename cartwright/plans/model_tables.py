@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import col
 
+from cartwright.plans.training import model_folder
 from cartwright.schemas import FEATURE_COLUMNS
 
 FOREST, BOOSTED, LINEAR = "forest", "boosted", "linear"
@@ -32,7 +33,8 @@ MOST_LEVELS = 30
 
 
 def stored_model(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
-    """Kind and table of a pipeline that ``save_model`` wrote."""
+    """Kind and table of the current pipeline that ``save_model`` wrote."""
+    path = model_folder(spark, path)
     stages = spark.read.json(f"{path}/stages/*/metadata").select(F.substring_index("class", ".", -1).alias("name"), "uid")
     found = [(r["name"], r["uid"]) for r in stages.collect()]  # one row per stage
     kind, uid = next((KINDS[name], uid) for name, uid in found if name in KINDS)

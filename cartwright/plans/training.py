@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.functions import col
 
 from cartwright.operators import metrics as m
@@ -16,6 +17,7 @@ from cartwright.operators.quality import QualityError
 from cartwright.operators.running import scan
 from cartwright.schemas import FEATURE_COLUMNS, FEATURE_UPPER_BOUNDS, TARGET_COLUMN
 from cartwright.session import settle
+from cartwright.sources.published import Published
 
 TEST_SHARE = 0.2
 SEED = 42
@@ -219,11 +221,19 @@ def model_recommendations(metrics: DataFrame, importance: DataFrame) -> DataFram
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    """Store a model beside earlier ones and make it current once it is whole."""
+    folder = f"data/{uuid4().hex}"
+    model.write().save(f"{path}/{folder}")
+    Published(SparkSession.active(), path).commit([{"folder": folder}])
+
+
+def model_folder(spark: SparkSession, path: str) -> str:
+    """Where the current model of ``path`` is stored."""
+    return f"{path}/{Published(spark, path).manifest()['parts'][0]['folder']}"
 
 
 def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    return PipelineModel.load(model_folder(SparkSession.active(), path))
 
 
 def range_violations(df: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from cartwright.schemas import RAW_FILES, RAW_SCHEMAS, RUN_HISTORY_SCHEMA
+from cartwright.sources.published import Published
 
 
 def normalize_name(name: str) -> str:
@@ -34,48 +37,42 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     ])
 
 
-def _stored_rows(spark: SparkSession, path: str) -> int:
-    """Counted from the file footers."""
-    try:
-        return spark.read.parquet(path).count()
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        return 0
+Audit = Callable[[DataFrame], DataFrame]
+
 
+def load_replace(
+    spark: SparkSession, path: str, table_path: str, schema: StructType | None = None, audit: Audit | None = None
+) -> int:
+    """Make a CSV the whole table; returns the rows written. A load that fails leaves the table as it is."""
+    return Published(spark, table_path).replace(scan_csv(spark, path, schema), audit)
 
-def load_replace(spark: SparkSession, path: str, table_path: str, schema: StructType | None = None) -> int:
-    scan_csv(spark, path, schema).write.mode("overwrite").parquet(table_path)
-    return _stored_rows(spark, table_path)
 
+def load_append(
+    spark: SparkSession, path: str, table_path: str, schema: StructType | None = None, audit: Audit | None = None
+) -> int:
+    return Published(spark, table_path).append(scan_csv(spark, path, schema), audit)
 
-def load_append(spark: SparkSession, path: str, table_path: str, schema: StructType | None = None) -> int:
-    before = _stored_rows(spark, table_path)
-    scan_csv(spark, path, schema).write.mode("append").parquet(table_path)
-    return _stored_rows(spark, table_path) - before
 
+def read_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """The current version of a loaded table."""
+    return Published(spark, table_path).read()
 
-def load_dataset(spark: SparkSession, folder: str, warehouse: str) -> dict[str, int]:
+
+def load_dataset(spark: SparkSession, folder: str, warehouse: str, audits: dict[str, Audit] | None = None) -> dict[str, int]:
     """All raw tables from their CSV files; the first failure ends the load."""
     return {
-        name: load_replace(spark, f"{folder}/{file}", f"{warehouse}/{name}", RAW_SCHEMAS[name])
+        name: load_replace(spark, f"{folder}/{file}", f"{warehouse}/{name}", RAW_SCHEMAS[name], (audits or {}).get(name))
         for file, name in RAW_FILES.items()
     }
 
 
 def append_runs(records: DataFrame, path: str) -> None:
-    records.write.mode("append").parquet(path)
+    Published(records.sparkSession, path, RUN_HISTORY_SCHEMA).append(records)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The run history in time order; an empty one before the first run."""
-    try:
-        runs = spark.read.schema(RUN_HISTORY_SCHEMA).parquet(path)
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        runs = spark.createDataFrame([], RUN_HISTORY_SCHEMA)
-    return runs.orderBy("run_timestamp")
+    return Published(spark, path, RUN_HISTORY_SCHEMA).read().orderBy("run_timestamp")
 
 
 def write_metrics_json(metrics: DataFrame, path: str) -> None:

@@ -143,23 +143,28 @@ def test_quality_checks_and_gate(spark, shop):
 
 def test_incremental_runs_equal_a_full_build(spark, shop, tmp_path):
     orders, lines, _ = shop
-    path = str(tmp_path / "fct")
-    early = orders.where("order_id <= 3")
-    assert incremental.append_new_orders(spark, early, lines, path) == 0
-    assert incremental.append_new_orders(spark, orders, lines, path) == 3
-    assert incremental.append_new_orders(spark, orders, lines, path) == 6
+    fact = incremental.FactTable(spark, str(tmp_path / "fct"), ids_per_range=2)
+    assert fact.append_new(orders.where("order_id <= 3"), lines) == 0
+    assert fact.append_new(orders, lines) == 3
+    assert fact.append_new(orders, lines) == 6
     full = marts.fct_orders(orders, lines)
-    stored = incremental.read_fact(spark, path).select(*full.columns)
+    stored = fact.read().select(*full.columns)
     assert stored.exceptAll(full).count() == 0 and stored.count() == 6
 
 
-def test_reprocessing_replaces_rows_and_keeps_new_columns(spark, shop):
+def test_a_changed_old_order_rewrites_its_range_alone(spark, shop, tmp_path):
     orders, lines, _ = shop
-    stored = marts.fct_orders(orders, lines).withColumn("note", F.lit("old"))
+    fact = incremental.FactTable(spark, str(tmp_path / "fct"), ids_per_range=2)
+    fact.merge(marts.fct_orders(orders, lines).withColumn("note", F.lit("old")))
+    before = {part["range"]: part["folder"] for part in fact.table.manifest()["parts"]}
+    assert sorted(before) == [0, 1, 2, 3] and fact.mark() == 6
     late = lines.unionByName(spark.createDataFrame([(4, 10, 1, 1)], LINES))
-    keys = spark.createDataFrame([Row(order_id=4)])
-    fixed = rows_by(incremental.reprocess(stored, orders, late, keys), "order_id")
-    assert len(fixed) == 6 and fixed[4].item_count == 1 and fixed[4].note is None and fixed[1].note == "old"
+    assert fact.reprocess(orders, late, spark.createDataFrame([Row(order_id=4)])) == [2]
+    after = {part["range"]: part["folder"] for part in fact.table.manifest()["parts"]}
+    assert [r for r in before if before[r] != after[r]] == [2]
+    fixed = rows_by(fact.read(), "order_id")
+    assert len(fixed) == 6 and fixed[4].item_count == 1 and fixed[4].note is None and fixed[1].note == fixed[5].note == "old"
+    assert fact.merge(marts.fct_orders(orders, lines).limit(0)) == []
 
 
 def test_histogram_has_at_most_18_round_bins(spark):

@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cartwright.operators import quality as dq
 from cartwright.schemas import RAW_FILES
 from cartwright.sources import files
+from cartwright.sources.published import CommitConflict, Published
 from cartwright.streaming import events
 
 GOOD = {
@@ -52,7 +54,54 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     (source / "two.txt").write_text("\n".join(messages()[3:]))
     run()
     run()
-    assert spark.read.parquet(table).count() == 2 and spark.read.parquet(dead).count() == 4
+    assert events.read_events(spark, table).count() == 2 and events.read_events(spark, dead).count() == 4
+    # The same events again, in a new file and after a restart: nothing new but the malformed ones.
+    (source / "three.txt").write_text("\n".join([*messages()[:3], json.dumps(GOOD | {"event_id": "c"}), json.dumps(GOOD | {"event_id": None})]))
+    run()
+    assert sorted(str(r.event_id) for r in events.read_events(spark, table).collect()) == ["None", "a", "b", "c"]
+    assert events.read_events(spark, dead).count() == 5
+
+
+def test_kafka_flushes_by_size_or_time():
+    options = events.kafka_options("h:9092", "orders", most=5000)
+    assert (options["minOffsetsPerTrigger"], options["maxTriggerDelay"], options["maxOffsetsPerTrigger"]) == ("100", "30s", "5000")
+
+
+def test_a_batch_is_committed_once_and_whole(spark, tmp_path):
+    table = Published(spark, str(tmp_path / "t"))
+    rows = spark.range(5)
+    assert table.append_once(rows, 3) and not table.append_once(rows, 3)
+    table.stage(rows)  # written, not committed
+    assert table.read_all().count() == 5 and table.remove_unnamed() == 1 and table.read_all().count() == 5
+
+
+def test_a_failing_load_leaves_the_old_version(spark, tmp_path):
+    table = Published(spark, str(tmp_path / "t"))
+    with pytest.raises(FileNotFoundError):
+        table.read()
+
+    def audit(df):
+        return dq.quality_report(dq.null_counts(df, "t", ["id"]))
+
+    good, bad = spark.range(3), spark.createDataFrame([(None,), (9,)], "id long")
+    assert table.replace(good, audit) == 3
+    with pytest.raises(dq.QualityError, match="id_not_null"):
+        table.replace(bad, audit)
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|zero"):
+        table.replace(good.select((F.col("id") / F.expr("raise_error('zero')")).alias("id")))
+    assert sorted(r.id for r in table.read().collect()) == [0, 1, 2]
+    assert table.append(spark.range(3, 5)) == 2 and table.read().count() == 5
+    assert table.replace(spark.range(1)) == 1 and table.read().count() == 1 and table.read(table.manifest(2)["parts"]).count() == 5
+
+
+def test_two_writers_cannot_take_one_number(spark, tmp_path):
+    one, two = (Published(spark, str(tmp_path / "t")) for _ in range(2))
+    part = one.stage(spark.range(2))
+    one.commit([part], 1)
+    with pytest.raises(CommitConflict):
+        two.commit([], 1)
+    # Rows are those of the write, whoever else appends.
+    assert (one.append(spark.range(4)), two.append(spark.range(7))) == (4, 7) and one.read().count() == 13
 
 
 def test_csv_load(spark, tmp_path):
@@ -71,12 +120,12 @@ def test_csv_load(spark, tmp_path):
     (folder / "departments.csv").write_text("department_id,department\n2,y\n")
     counts = files.load_dataset(spark, str(folder), warehouse)
     assert list(counts) == list(RAW_FILES.values()) and counts["raw_orders"] == 2
-    stored = spark.read.parquet(f"{warehouse}/raw_orders").orderBy("order_id").collect()
+    stored = files.read_table(spark, f"{warehouse}/raw_orders").orderBy("order_id").collect()
     assert stored[0].days_since_prior_order is None and stored[1].days_since_prior_order == 15.0
     extra = str(folder / "orders.csv")
     assert files.load_append(spark, extra, f"{warehouse}/all") == 2
     assert files.load_append(spark, extra, f"{warehouse}/all") == 2
-    assert spark.read.parquet(f"{warehouse}/all").count() == 4
+    assert files.read_table(spark, f"{warehouse}/all").count() == 4
 
 
 def test_artifact_sinks(spark, tmp_path):
