@@ -820,13 +820,26 @@ def _(w):
 # Monitoring -------------------------------------------------------------------------------------
 
 
-def _runs(w: Warehouse) -> DataFrame:
-    """One evaluation run per quarter of the target orders' dates."""
+def _dated(w: Warehouse) -> tuple[DataFrame, DataFrame]:
+    """Scored rows and feature rows of one evaluation run per quarter of the target orders' dates."""
     dates = w.order_base.select(
         "order_id", F.date_trunc("quarter", "order_date").cast("timestamp_ntz").alias("run_timestamp")
     )
     rows = settle(w.training.join(dates, "order_id"))
-    return settle(mon.history_from_scores(_rule_scores(rows, "run_timestamp"), rows))
+    return settle(_rule_scores(rows, "run_timestamp")), rows
+
+
+def _runs(w: Warehouse) -> DataFrame:
+    return settle(mon.history_from_scores(*_dated(w)))
+
+
+def _values(findings: DataFrame) -> DataFrame:
+    """Finding values as numbers, and as text where they are names."""
+    values = ("previous_value", "current_value")
+    return findings.withColumns({
+        **{v.replace("value", "name"): F.when(col("metric") == "top_feature", col(v)) for v in values},
+        **{v: F.when(col("metric") != "top_feature", col(v).try_cast("double")) for v in values},
+    })
 
 
 @query("evaluation_record")
@@ -841,17 +854,24 @@ def _(w):
 
 @query("drift_findings")
 def _(w):
-    return mon.drift_findings(_runs(w)).drop("previous_value", "current_value")
+    return _values(mon.drift_findings(_runs(w)))
 
 
 @query("feature_drift")
 def _(w):
-    return mon.feature_drift(_runs(w)).drop("previous_value", "current_value")
+    return _values(mon.feature_drift(_runs(w)))
 
 
 @query("drift_status")
 def _(w):
-    return mon.drift_status(_runs(w)).drop("findings_json")
+    status = mon.drift_status(_runs(w))
+    return status.select(
+        *[c for c in status.columns if c not in ("findings_json", "tracked_json")],
+        F.array_join(F.transform(F.from_json("findings_json", "array<struct<metric: string>>"), lambda x: x["metric"]), ",").alias("found"),
+        mon.from_report(col("tracked_json"), "$.roc_auc.delta", "double").alias("roc_auc_delta"),
+        mon.from_report(col("tracked_json"), "$.brier_score.previous", "double").alias("previous_brier_score"),
+        F.coalesce(F.json_array_length(F.to_json(F.map_keys(F.from_json("tracked_json", "map<string, string>")))), F.lit(0)).alias("tracked"),
+    )
 
 
 @query("metric_unpivot")
@@ -861,17 +881,35 @@ def _(w):
 
 @query("run_record")
 def _(w):
-    return mon.run_records(_runs(w)).select(
+    scored, features = _dated(w)
+    history = settle(mon.history_from_scores(scored, features))
+    records = mon.run_records(history, payloads=mon.payloads_from_scores(scored, features))
+
+    def number(payload: str, path: str) -> Column:
+        return mon.from_report(col(payload), path, "double")
+
+    return records.select(
         "run_id", "run_timestamp", "selected_model", "model_selection_metric", "source_relation", "train_rows",
         "test_rows", "threshold", "top_feature",
-        F.get_json_object("metrics", "$.roc_auc").cast("double").alias("roc_auc_in_payload"),
-        F.get_json_object("drift_report", "$.status").alias("status_in_report"),
+        *[number("metrics", f"$.{c}").alias(f"{c}_in_payload") for c in ("roc_auc", "f1", "recommended_threshold", "positive_prediction_rate", "tp")],
+        F.json_array_length("feature_importance").alias("features"),
+        mon.from_report(col("feature_importance"), "$[0].feature").alias("first_feature"),
+        number("feature_importance", "$[1].importance").alias("second_importance"),
+        mon.from_report(col("model_comparison"), "$[1].model_name").alias("second_model"),
+        number("model_comparison", "$[1].roc_auc").alias("second_roc_auc"),
+        mon.from_report(col("drift_report"), "$.status").alias("status_in_report"),
+        mon.from_report(col("drift_report"), "$.top_feature").alias("feature_in_report"),
+        number("drift_report", "$.tracked_metrics.f1.current").alias("f1_in_report"),
+        mon.from_report(col("drift_report"), "$.previous_run_timestamp").alias("previous_in_report"),
+        F.json_array_length(F.get_json_object("drift_report", "$.findings")).alias("findings_in_report"),
     )
 
 
 @query("drift_summary")
 def _(w):
-    return mon.drift_summary(settle(mon.run_records(_runs(w)))).drop("drift_findings_json")
+    summary = mon.drift_summary(settle(mon.run_records(_runs(w))))
+    found = F.from_json("drift_findings_json", "array<struct<metric: string>>")
+    return summary.withColumn("drift_found", F.array_join(F.transform(found, lambda x: x["metric"]), ",")).drop("drift_findings_json")
 
 
 # Decisions and text -----------------------------------------------------------------------------

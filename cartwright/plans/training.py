@@ -193,30 +193,39 @@ def model_recommendations(metrics: DataFrame, importance: DataFrame) -> DataFram
     top_two = importance.orderBy(F.desc("importance"), "feature").limit(2).agg(
         F.coalesce(F.sum("importance"), F.lit(0.0)).alias("v")
     ).scalar()
-    # Thresholds, priorities and texts.
+    # Thresholds, priorities, actions and expected impacts.
     rules = (
         (known("positive_rate") >= 0.8, "high",
-         "Monitor class imbalance before using the model for automated targeting."),
+         "Monitor class imbalance before using the model for automated targeting.",
+         "The dataset contains many reorder-positive examples, so accuracy alone can overstate model quality. "
+         "Use balanced accuracy, ROC AUC, and threshold analysis together."),
         (known("balanced_accuracy") < 0.6, "high",
-         "Treat the current classifier as a ranking signal, not a final automated decision."),
+         "Treat the current classifier as a ranking signal, not a final automated decision.",
+         "Balanced accuracy is close to random because the no-reorder class is hard to detect. "
+         "Use the probability score for prioritization until richer negative-class features are added."),
         (F.coalesce(col("roc_auc") < 0.72, F.lit(False)), "medium",
-         "Add richer behavioral features such as recency, product affinity, and department mix."),
+         "Add richer behavioral features such as recency, product affinity, and department mix.",
+         "Improves separation between likely reorders and customers who may churn."),
         (known("recall") < known("precision"), "medium",
-         "Tune the prediction threshold based on campaign goals."),
-        (top_two > 0.85, "medium", "Reduce dependence on only a few features."),
+         "Tune the prediction threshold based on campaign goals.",
+         "Lower thresholds catch more potential reorderers; higher thresholds reduce false positives "
+         "for expensive retention campaigns."),
+        (top_two > 0.85, "medium",
+         "Reduce dependence on only a few features.",
+         "A broader feature set usually makes the model more stable and easier to explain to business users."),
     )
     advice = F.array(*[
         F.struct(
             fires.alias("fires"), F.lit(no).alias("rule_no"), F.lit(priority).alias("priority"),
-            F.lit(action).alias("action"),
+            F.lit(action).alias("action"), F.lit(impact).alias("expected_impact"),
         )
-        for no, (fires, priority, action) in enumerate(rules, 1)
+        for no, (fires, priority, action, impact) in enumerate(rules, 1)
     ])
     keep = [c for c in ("model_name", "run_id") if c in metrics.columns]
     return (
         metrics.select(*keep, F.inline(advice))
         .where("fires")
-        .select(*keep, "rule_no", "priority", "action")
+        .select(*keep, "rule_no", "priority", "action", "expected_impact")
     )
 
 

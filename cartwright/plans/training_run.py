@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import col
 
 from cartwright.operators import metrics as m
@@ -14,6 +14,31 @@ from cartwright.session import settle
 from cartwright.sources import files
 
 
+def metrics_artifact(scored: DataFrame, chosen: DataFrame, comparison: DataFrame, advice: DataFrame) -> DataFrame:
+    """One row with everything known of the selected model: metrics, confusion matrix, report, the threshold table,
+    both curves at no more than ``CURVE_POINTS`` points, all models compared, and the advice."""
+
+    def rows(df: DataFrame, *first: str) -> Column:
+        names = [*first, *[c for c in df.columns if c not in first]]
+        return df.agg(F.sort_array(F.collect_list(F.struct(*names)))).scalar()
+
+    report = m.classification_report(m.confusion_at_best(scored))
+    ranked = comparison.select("*", (-F.coalesce("roc_auc", F.lit(0.0))).alias("_rank"), (-F.coalesce("f1", F.lit(0.0))).alias("_next"))
+    return chosen.withColumns({
+        "selected_model": col("model_name"),
+        "model_selection_metric": F.lit("roc_auc"),
+        "threshold_selection_metric": F.lit("balanced_accuracy"),
+        "confusion_matrix": F.array(F.array("tn", "fp"), F.array("fn", "tp")),
+        "classification_report": rows(report, "class"),
+        "threshold_analysis": rows(m.threshold_analysis(scored), "threshold"),
+        "roc_curve": rows(m.curve_sample(m.roc_points(scored)), "point"),
+        "precision_recall_curve": rows(m.curve_sample(m.pr_points(scored)), "point"),
+        "model_recommendations": rows(advice, "rule_no"),
+    }).withColumn("_compared", rows(ranked, "_rank", "_next", "model_name")).withColumn(
+        "model_comparison", F.transform("_compared", lambda x: x.dropFields("_rank", "_next"))
+    ).drop("_compared")
+
+
 def train_and_record(
     rows: DataFrame,
     folder: str,
@@ -31,7 +56,8 @@ def train_and_record(
     tr.validate_training(rows)
     matrix = settle(tr.training_matrix(rows))
     models, scored = tr.fit_candidates(matrix, scale=scale, key=key)
-    metrics = settle(m.classification_metrics(settle(scored), ["model_name"]))
+    scored = settle(scored)
+    metrics = settle(m.classification_metrics(scored, ["model_name"]))
     comparison = m.model_comparison(metrics)
     best = comparison.first().model_name
 
@@ -42,7 +68,9 @@ def train_and_record(
     chosen = metrics.where(col("model_name") == best).withColumn(
         "positive_rate", whole.select("rate").scalar()
     )
-    files.write_metrics_json(chosen, f"{folder}/metrics")
+    advice = tr.model_recommendations(chosen, importance)
+    own = scored.where(col("model_name") == best)
+    files.write_metrics_json(metrics_artifact(own, chosen, comparison, advice), f"{folder}/metrics")
     files.write_importance_csv(importance, f"{folder}/importance")
 
     stamp = now or datetime.now(timezone.utc)
@@ -62,13 +90,16 @@ def train_and_record(
     history_path = f"{folder}/runs"
     before = files.read_runs(spark, history_path).select(*record.columns)
     known = settle(before.unionByName(record))
-    stored = mon.run_records(known, source_relation, f"{folder}/model").where(
+    payloads = mon.run_payloads(
+        metrics.withColumn("run_timestamp", F.lit(stamp)), importance.withColumn("run_timestamp", F.lit(stamp))
+    )
+    stored = mon.run_records(known, source_relation, f"{folder}/model", payloads=payloads).where(
         col("run_timestamp") == F.lit(stamp)
     )
     files.append_runs(stored, history_path)
     return {
         "comparison": comparison,
         "importance": importance,
-        "recommendations": tr.model_recommendations(chosen, importance),
+        "recommendations": advice,
         "record": files.read_runs(spark, history_path).where(col("run_timestamp") == F.lit(stamp)),
     }

@@ -337,7 +337,8 @@ _PARTS["run_values"] = " union all ".join(
     for n in _TRACKED
 )
 _PARTS["worse"] = """
-    select run_timestamp, 'metric_drift' as type, metric, v - u as delta,
+    select run_timestamp, 'metric_drift' as type, metric, v - u as delta, u as previous_value, v as current_value,
+        null::varchar as previous_name, null::varchar as current_name,
         if(abs(v - u) >= 0.08, 'high', 'medium') as severity,
         metric || if(v > u, ' increased', ' decreased') || ' by ' || printf('%.3f', abs(v - u))
             || ' compared with the previous run.' as description
@@ -345,10 +346,12 @@ _PARTS["worse"] = """
         and if(metric = 'brier_score', v - u > 0.03, v - u < -0.03)"""
 _PARTS["moved"] = """
     select run_timestamp, 'feature_drift' as type, if(now <> before, 'top_feature', 'top_feature_importance') as metric,
-        delta, 'medium' as severity,
+        delta, 'medium' as severity, if(now <> before, null, a) as previous_value, if(now <> before, null, b) as current_value,
+        if(now <> before, before, null) as previous_name, if(now <> before, now, null) as current_name,
         if(now <> before, 'The most influential feature changed compared with the previous run.',
             'The leading feature importance changed materially compared with the previous run.') as description
     from (select run_timestamp, top_feature as now, lag(top_feature) over t as before,
+            lag(top_feature_importance) over t as a, top_feature_importance as b,
             top_feature_importance - lag(top_feature_importance) over t as delta
           from runs window t as (order by run_timestamp))
     where now <> before or abs(delta) >= 0.10"""
@@ -358,11 +361,23 @@ _PARTS["statuses"] = """
         case when prev is null then 'First tracked training run saved as the monitoring baseline.'
             when n > 0 then 'Model monitoring found ' || n || ' signal(s) requiring review.'
             else 'Model monitoring is stable against the previous training run.' end as summary,
-        n as findings
-    from (select run_timestamp, selected_model, lag(run_timestamp) over (order by run_timestamp) as prev,
+        n as findings, top_feature, top_feature_importance,
+        coalesce((select string_agg(metric, ',' order by metric) from (
+            select run_timestamp as moment, metric from worse union all select run_timestamp, metric from moved) where moment = r.run_timestamp), '') as found,
+        (select v - u from run_values x where x.run_timestamp = r.run_timestamp and metric = 'roc_auc') as roc_auc_delta,
+        (select if(v is null, null, u) from run_values x where x.run_timestamp = r.run_timestamp and metric = 'brier_score') as previous_brier_score,
+        (select count(*) from run_values x where x.run_timestamp = r.run_timestamp and u is not null and v is not null)::integer as tracked
+    from (select run_timestamp, selected_model, top_feature, top_feature_importance, lag(run_timestamp) over (order by run_timestamp) as prev,
             (select count(*) from worse where worse.run_timestamp = runs.run_timestamp)
             + (select count(*) from moved where moved.run_timestamp = runs.run_timestamp) as n
-          from runs)"""
+          from runs) r"""
+_PARTS["placed_models"] = """
+    select g.at as run_timestamp, g.model as model, roc_auc, f1, recommended_threshold, positive_prediction_rate, tp,
+        row_number() over (partition by g.at order by roc_auc is null, coalesce(roc_auc, 0) desc, coalesce(f1, 0) desc, g.model) as place
+    from metrics"""
+_PARTS["placed_features"] = """
+    select run_timestamp, feature, share, row_number() over (partition by run_timestamp order by share desc, feature) as place
+    from (select *, coalesce(gap / nullif(sum(gap) over (partition by run_timestamp), 0), 0) as share from gaps)"""
 _PARTS["signals_in"] = """
     select f.user_id, f.reorder_ratio as reorder, f.days_between_orders as gap,
         f.total_orders - f.observed_basket_orders as failures, churn.churn_probability as churn,
@@ -846,12 +861,21 @@ ORACLE: dict[str, str] = {
         "metric_gap", **_TWO),
     "class_gap_importance": _sql("select * from gap_all", "importance"),
     "model_recommendations": _sql(
-        "select g as model_name, rule_no, priority, action from metrics, (values "
-        "(1, 'high', 'Monitor class imbalance before using the model for automated targeting.'), "
-        "(2, 'high', 'Treat the current classifier as a ranking signal, not a final automated decision.'), "
-        "(3, 'medium', 'Add richer behavioral features such as recency, product affinity, and department mix.'), "
-        "(4, 'medium', 'Tune the prediction threshold based on campaign goals.'), "
-        "(5, 'medium', 'Reduce dependence on only a few features.')) t(rule_no, priority, action) "
+        "select g as model_name, rule_no, priority, action, expected_impact from metrics, (values "
+        "(1, 'high', 'Monitor class imbalance before using the model for automated targeting.', "
+        "'The dataset contains many reorder-positive examples, so accuracy alone can overstate model quality. "
+        "Use balanced accuracy, ROC AUC, and threshold analysis together.'), "
+        "(2, 'high', 'Treat the current classifier as a ranking signal, not a final automated decision.', "
+        "'Balanced accuracy is close to random because the no-reorder class is hard to detect. "
+        "Use the probability score for prioritization until richer negative-class features are added.'), "
+        "(3, 'medium', 'Add richer behavioral features such as recency, product affinity, and department mix.', "
+        "'Improves separation between likely reorders and customers who may churn.'), "
+        "(4, 'medium', 'Tune the prediction threshold based on campaign goals.', "
+        "'Lower thresholds catch more potential reorderers; higher thresholds reduce false positives "
+        "for expensive retention campaigns.'), "
+        "(5, 'medium', 'Reduce dependence on only a few features.', "
+        "'A broader feature set usually makes the model more stable and easier to explain to business users.')"
+        ") t(rule_no, priority, action, expected_impact) "
         "where case rule_no when 1 then positive_rate >= 0.8 when 2 then balanced_accuracy < 0.6 "
         "when 3 then roc_auc < 0.72 when 4 then recall < precision "
         "else (select sum(importance) from (select importance from gap_all order by importance desc limit 2)) > 0.85 "
@@ -861,9 +885,9 @@ ORACLE: dict[str, str] = {
         "top_share"),
     "evaluation_record": _sql("select * from runs", _RUN_DOUBLES + " positive_rate", "test_rows", **_RUNS),
     "run_history": _sql("select * exclude (positive_rate) from runs", _RUN_DOUBLES, "test_rows", **_RUNS),
-    "drift_findings": _sql("select * from worse", "delta", **_RUNS),
-    "feature_drift": _sql("select * from moved", "delta", **_RUNS),
-    "drift_status": _sql("select * from statuses", "", "findings", **_RUNS),
+    "drift_findings": _sql("select * from worse", "delta previous_value current_value", **_RUNS),
+    "feature_drift": _sql("select * from moved", "delta previous_value current_value", **_RUNS),
+    "drift_status": _sql("select * from statuses", "top_feature_importance roc_auc_delta previous_brier_score", "findings", **_RUNS),
     "metric_unpivot": _sql(
         "select run_timestamp, metric, v as value from run_values where v is not null "
         "and metric in ('roc_auc', 'f1', 'balanced_accuracy', 'precision', 'recall') and run_timestamp in "
@@ -872,8 +896,21 @@ ORACLE: dict[str, str] = {
         "select md5('fct_orders|' || strftime(run_timestamp, '%Y-%m-%d %H:%M:%S')) as run_id, "
         "cast(run_timestamp as timestamptz) as run_timestamp, runs.selected_model, "
         "'roc_auc' as model_selection_metric, 'fct_orders' as source_relation, train_rows, test_rows, threshold, "
-        "top_feature, roc_auc as roc_auc_in_payload, status as status_in_report "
-        "from runs join statuses using (run_timestamp)", "threshold roc_auc_in_payload", "test_rows", **_RUNS),
+        "runs.top_feature, one.roc_auc as roc_auc_in_payload, one.f1 as f1_in_payload, "
+        "one.recommended_threshold as recommended_threshold_in_payload, "
+        "one.positive_prediction_rate as positive_prediction_rate_in_payload, one.tp as tp_in_payload, "
+        "(select count(*) from placed_features x where x.run_timestamp = runs.run_timestamp)::integer as features, "
+        "fa.feature as first_feature, fb.share as second_importance, two.model as second_model, two.roc_auc as second_roc_auc, "
+        "status as status_in_report, runs.top_feature as feature_in_report, "
+        "(select if(u is null, null, v) from run_values x where x.run_timestamp = runs.run_timestamp and metric = 'f1') as f1_in_report, "
+        "strftime(previous_run_timestamp, '%Y-%m-%d %H:%M:%S') as previous_in_report, findings::integer as findings_in_report "
+        "from runs join statuses using (run_timestamp) "
+        "join placed_models one on one.run_timestamp = runs.run_timestamp and one.place = 1 "
+        "join placed_models two on two.run_timestamp = runs.run_timestamp and two.place = 2 "
+        "join placed_features fa on fa.run_timestamp = runs.run_timestamp and fa.place = 1 "
+        "join placed_features fb on fb.run_timestamp = runs.run_timestamp and fb.place = 2",
+        "threshold roc_auc_in_payload f1_in_payload recommended_threshold_in_payload positive_prediction_rate_in_payload "
+        "tp_in_payload second_importance second_roc_auc f1_in_report", "test_rows", **_RUNS),
     "detect_anomalies": _sql(
         "select user_id, cast(row_number() over (partition by user_id order by k) as integer) as signal_no, metric, "
         "value, priority as severity, description, if(metric = 'api_health', 'unhealthy', null) as value_text "
@@ -932,8 +969,8 @@ ORACLE: dict[str, str] = {
         + "".join(
             f"{c}, lag({c}) over t as previous_{c}, {c} - lag({c}) over t as {c}_delta, "
             for c in ("roc_auc", "balanced_accuracy", "brier_score", "top_feature_importance"))
-        + "precision, recall, f1, top_feature, lag(top_feature) over t as previous_top_feature "
-        "from runs join statuses using (run_timestamp) window t as (order by run_timestamp) "
+        + "precision, recall, f1, top_feature, lag(top_feature) over t as previous_top_feature, found as drift_found "
+        "from runs join (select run_timestamp, status, summary, found from statuses) using (run_timestamp) window t as (order by run_timestamp) "
         "qualify row_number() over (order by run_timestamp desc) = 1",
         "precision recall f1 " + " ".join(
             f"{c} previous_{c} {c}_delta"

@@ -216,7 +216,15 @@ def test_run_records_are_appended_and_summarised(spark, tmp_path):
     files.append_runs(records.orderBy(F.desc("run_timestamp")).limit(1), path)
     stored = files.read_runs(spark, path)
     payload = json.loads(stored.collect()[1]["metrics"])
-    assert "f1" not in payload and payload["roc_auc"] == 0.71
+    assert payload["f1"] is None and payload["roc_auc"] == 0.71
+    report = json.loads(stored.collect()[1]["drift_report"])
+    assert sorted(report) == sorted((
+        "status", "summary", "current_run_timestamp", "previous_run_timestamp", "selected_model", "findings", "tracked_metrics",
+        "top_feature", "top_feature_importance",
+    ))
+    assert report["tracked_metrics"]["roc_auc"]["delta"] == pytest.approx(-0.05) and report["findings"][0]["metric"] == "roc_auc"
+    first_report = json.loads(stored.collect()[0]["drift_report"])
+    assert (first_report["findings"], first_report["tracked_metrics"], first_report["previous_run_timestamp"]) == ([], {}, None)
     summary = mon.drift_summary(stored).first()
     assert (summary.run_count, summary.drift_status) == (2, "attention")
     assert summary.roc_auc_delta == pytest.approx(-0.05)
@@ -304,6 +312,12 @@ def test_two_training_runs_leave_a_history(spark, tmp_path):
     assert first["comparison"].count() == 3 and first["importance"].count() == len(FEATURE_COLUMNS)
     second = train_and_record(rows, str(tmp_path), scale=0.03, now=datetime(2024, 5, 2))
     record = second["record"].first()
+    artifact = spark.read.json(str(tmp_path / "metrics")).first()
+    assert len(artifact.threshold_analysis) == 19 and len(artifact.model_comparison) == 3
+    assert artifact.model_comparison[0].model_name == artifact.selected_model == record.selected_model
+    assert sum(map(sum, artifact.confusion_matrix)) == artifact.rows and 2 < len(artifact.roc_curve) <= 200
+    assert json.loads(record.metrics)["tp"] == artifact.tp and len(json.loads(record.feature_importance)) == len(FEATURE_COLUMNS)
+    assert [x["model_name"] for x in json.loads(record.model_comparison)] == [x.model_name for x in artifact.model_comparison]
     assert json.loads(record.drift_report)["status"] == "stable" and record.train_rows + record.test_rows == 240
     runs = files.read_runs(spark, str(tmp_path / "runs"))
     assert [json.loads(r.drift_report)["status"] for r in runs.collect()] == ["baseline", "stable"]
