@@ -187,6 +187,19 @@ def _(w):
     return _written_numbers(w).select("order_id", text.parse_displayed_metric(col("written")).alias("value"))
 
 
+@query("lenient_timestamps")
+def _(w):
+    """Event times in the ways people write them, some of them no times at all."""
+    style, ts = col("event_id") % 8, col("ts")
+    ways = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd")
+    written = F.when(style == 6, F.lit("soon"))
+    for k, way in enumerate(ways):
+        text_of = F.date_format(ts, way)
+        written = written.when(style == k, F.concat(F.lit("  "), text_of) if k == 1 else text_of)
+    rows = w.raw("events").select("event_id", written.alias("written"))
+    return rows.select("event_id", text.lenient_timestamp(col("written")).alias("moment"))
+
+
 # Joins ------------------------------------------------------------------------------------------
 
 
@@ -216,8 +229,9 @@ def _(w):
 
 @query("inner_1to1")
 def _(w):
-    return w.feature_store.select("user_id", "total_orders").join(
-        w.churn.select("user_id", "churn_probability", "churn_risk_segment"), "user_id"
+    features = settle(w.feature_store.select("user_id", "total_orders", "reorder_ratio", "days_between_orders", "unique_products", "avg_basket_size"))
+    return features.select("user_id", "total_orders").join(
+        marts.churn_probability(features).select("user_id", "churn_probability", "churn_risk_segment"), "user_id"
     )
 
 
@@ -228,9 +242,12 @@ def _(w):
 
 @query("anti_orphan")
 def _(w):
-    """Lines whose product is outside the cheap half of the catalogue."""
-    cheap = w.raw("part").where(col("p_retailprice") < 1000).select(col("p_partkey").alias("product_id"))
-    return dq.orphan_rows(w.stg_order_products, cheap, "product_id", "raw_order_products", "product_id_valid")
+    """Lines whose product is not in the catalogue, and those whose product is not in its cheap half."""
+    every = w.raw("part").select(col("p_partkey").alias("product_id"), "p_retailprice")
+    checks = {"product_id_valid": every, "cheap_product": every.where(col("p_retailprice") < 1000)}
+    return reduce(DataFrame.unionByName, [
+        dq.orphan_rows(w.stg_order_products, parent, "product_id", "raw_order_products", name) for name, parent in checks.items()
+    ])
 
 
 @query("inner_same_rel")
@@ -927,15 +944,14 @@ def _decision_input(w: Warehouse) -> DataFrame:
         F.sum(F.when(col("eval_set") == "prior", col("item_count")).otherwise(0)).alias("then"),
     )
     revenue = items.select("user_id", F.try_divide(col("now") - col("then"), "then").alias("revenue_delta"))
-    churn = w.churn.select("user_id", col("churn_probability").cast("double").alias("avg_churn_probability"))
     return (
         w.feature_store.select(
             "user_id",
             col("reorder_ratio").alias("reorder_rate"),
             "days_between_orders",
             (col("total_orders") - col("observed_basket_orders")).alias("failed_checks"),
+            marts.churn_score().cast("double").alias("avg_churn_probability"),
         )
-        .join(churn, "user_id")
         .join(revenue, "user_id", "left")
         .join(status, "user_id", "left")
         .withColumn("churn_rate", F.when(col("avg_churn_probability") > 0.5, col("avg_churn_probability")).otherwise(0.0))

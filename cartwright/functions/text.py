@@ -43,6 +43,16 @@ def parse_displayed_metric(value: Column) -> Column:
     return _number(F.trim(F.regexp_replace(text, "%$", "")))
 
 
+#: Ways in which run stamps are written; the first that fits counts.
+STAMP_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd")
+
+
+def lenient_timestamp(value: Column, formats: tuple[str, ...] = STAMP_FORMATS) -> Column:
+    """A time without zone, by the first format that fits the trimmed text; NULL when none does."""
+    text = F.trim(value)
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+
+
 def question_category(question: Column) -> Column:
     text = F.lower(question)
     rules = [

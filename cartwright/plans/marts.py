@@ -188,8 +188,8 @@ def feature_store(
     )
 
 
-def churn_probability(features: DataFrame) -> DataFrame:
-    """Rule score in exact decimals; a missing input takes the rule's second value."""
+def churn_score() -> Column:
+    """Rule score of a feature row in exact decimals; a missing input takes the rule's second value."""
 
     def money(text: str) -> Column:
         return F.lit(text).cast("decimal(3,2)")
@@ -204,7 +204,10 @@ def churn_probability(features: DataFrame) -> DataFrame:
     score = money("0.50")
     for condition, when_true, otherwise in rules:
         score = score + F.when(condition, money(when_true)).otherwise(money(otherwise))
-    score = F.least(money("0.95"), F.greatest(money("0.05"), score))
+    return F.least(money("0.95"), F.greatest(money("0.05"), score)).cast("decimal(4,2)")
+
+
+def churn_probability(features: DataFrame) -> DataFrame:
     return (
         features.select(
             "user_id",
@@ -213,7 +216,7 @@ def churn_probability(features: DataFrame) -> DataFrame:
             "reorder_ratio",
             "unique_products",
             "days_between_orders",
-            score.cast("decimal(4,2)").alias("churn_probability"),
+            churn_score().alias("churn_probability"),
         )
         .withColumn("churn_risk_segment", seg.churn_risk_segment(F.col("churn_probability")))
     )

@@ -82,6 +82,7 @@ FEATURE_STORE_COLUMNS = {
     "will_reorder": "int",
 }
 
+# Columns and types of the raw tables.
 RAW_SCHEMAS = {
     "raw_orders": T.StructType([
         T.StructField("order_id", T.LongType()),
@@ -141,6 +142,7 @@ MODEL_CONSTRAINTS = {
     "customer_lifetime_value": ("user_id", ["user_id", "customer_lifetime_value_proxy", "value_segment"]),
 }
 
+# Metrics compared from run to run.
 TRACKED_METRICS = (
     "accuracy",
     "balanced_accuracy",
@@ -153,6 +155,7 @@ TRACKED_METRICS = (
     "positive_rate",
 )
 
+# Columns and types of the run history.
 RUN_HISTORY_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType(), False),
     T.StructField("run_timestamp", T.TimestampType(), False),
@@ -182,6 +185,7 @@ RUN_HISTORY_SCHEMA = T.StructType([
     T.StructField("created_at", T.TimestampType()),
 ])
 
+# Fields of an order event.
 ORDER_EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.StringType()),
     T.StructField("event_type", T.StringType()),

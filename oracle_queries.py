@@ -63,7 +63,7 @@ _PARTS = {
             coalesce(sum(days_since_prior_order), 0.0::double) as customer_tenure_days,
             coalesce(max(days_since_prior_order), 0.0::double) as max_days_since_prior_order,
             avg(order_dow) as avg_order_dow, avg(order_hour_of_day) as avg_order_hour_of_day,
-            avg(if(order_dow % 6 = 0, 1, 0)) as weekend_order_ratio,
+            avg(if(order_dow in (0, 6), 1, 0)) as weekend_order_ratio,
             avg(if(order_hour_of_day >= 18 or order_hour_of_day < 6, 1, 0)) as evening_order_ratio,
             cast(sum(item_count) as bigint) as total_items_ordered,
             cast(sum(reordered_item_count) as bigint) as total_reordered_items,
@@ -200,7 +200,7 @@ _PARTS = {
         select *, coalesce(days_since_prior_order, 0) as gap,
             sum(coalesce(days_since_prior_order, 0)) over (partition by user_id order by order_number)
                 as customer_day_number,
-            if(order_dow % 6 = 0, 1, 0) as wk, if(order_hour_of_day >= 18 or order_hour_of_day < 6, 1, 0) as ev,
+            if(order_dow in (0, 6), 1, 0) as wk, if(order_hour_of_day >= 18 or order_hour_of_day < 6, 1, 0) as ev,
             if(reordered_item_count > 0, 1, 0) as rr
         from fact""",
     "windows": """
@@ -298,13 +298,14 @@ _PARTS = {
             prior_reorder_order_ratio from dated""",
 }
 
-_FEATURES = (
-    "total_orders observed_basket_orders avg_basket_size reorder_ratio days_between_orders "
-    "stddev_days_between_orders days_since_last_order customer_tenure_days order_frequency_30d avg_order_dow "
-    "avg_order_hour_of_day weekend_order_ratio evening_order_ratio prior_reorder_order_ratio unique_products "
-    "unique_departments unique_aisles produce_item_ratio dairy_eggs_item_ratio fresh_fruits_item_ratio "
-    "fresh_vegetables_item_ratio"
-).split()
+# The features of the models, and the tracked metrics.
+_FEATURES = [
+    "total_orders", "observed_basket_orders", "avg_basket_size", "reorder_ratio", "days_between_orders",
+    "stddev_days_between_orders", "days_since_last_order", "customer_tenure_days", "order_frequency_30d",
+    "avg_order_dow", "avg_order_hour_of_day", "weekend_order_ratio", "evening_order_ratio", "prior_reorder_order_ratio",
+    "unique_products", "unique_departments", "unique_aisles", "produce_item_ratio", "dairy_eggs_item_ratio",
+    "fresh_fruits_item_ratio", "fresh_vegetables_item_ratio",
+]
 _PARTS["long_features"] = " union all ".join(
     f"select run_timestamp, will_reorder, '{f}' as feature, {f}::double as v from dated" for f in _FEATURES
 )
@@ -331,7 +332,10 @@ _PARTS["runs"] = """
         from metrics left join tops on tops.run_timestamp = g.at
         qualify row_number() over (partition by g.at
             order by roc_auc is null, coalesce(roc_auc, 0) desc, coalesce(f1, 0) desc, g.model) = 1)"""
-_TRACKED = "accuracy balanced_accuracy precision recall f1 roc_auc average_precision brier_score positive_rate".split()
+_TRACKED = [
+    "accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc", "average_precision", "brier_score",
+    "positive_rate",
+]
 _PARTS["run_values"] = " union all ".join(
     f"select run_timestamp, '{n}' as metric, {n} as v, lag({n}) over (order by run_timestamp) as u from runs"
     for n in _TRACKED
@@ -623,8 +627,14 @@ ORACLE: dict[str, str] = {
         "on w.user_id = ord.user_id and w.order_id = ord.order_id and w.total_orders >= 1 "
         "where ord.eval_set = 'train'"),
     "anti_orphan": """
-        select 'raw_order_products' as table_name, 'product_id_valid' as check_name, count(*) as invalid_count
-        from lineitem left join part on l_partkey = p_partkey and p_retailprice < 1000 where p_partkey is null""",
+        select 'raw_order_products' as table_name, 'cheap_product' as check_name, count(*) as invalid_count
+        from lineitem left join part on l_partkey = p_partkey and p_retailprice < 1000 where p_partkey is null
+        union all
+        select 'raw_order_products', 'product_id_valid', count(*)
+        from lineitem left join part on l_partkey = p_partkey where p_partkey is null""",
+    "lenient_timestamps": """
+        select event_id, case when event_id % 8 < 5 then date_trunc('second', ts::timestamp)
+            when event_id % 8 = 5 then date_trunc('day', ts::timestamp) end::timestamp as moment from events""",
     "semi_in": _sql(
         "select * exclude (order_date) from ord "
         "where order_id in (select order_id from fact where eval_set = 'train' and item_count > 0)"),
