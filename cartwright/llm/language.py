@@ -3,10 +3,10 @@
 Two gated recurrent layers of ``HIDDEN`` units read a text forwards and backwards, in chunks of ``CHUNK`` bytes; a
 softmax over both labels every byte with a language, and the mean of the probabilities over all bytes of a
 text is its prediction. Trained in numpy by backpropagation through time on windows of documents with a
-known language: at most ``DOCS_PER_LANGUAGE`` documents per language, chosen by hash.
+known language: of at most ``DOCS_PER_LANGUAGE`` documents per language, chosen by hash, ``STRETCH`` characters.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0, as is every text if no row can be
-learnt from. Texts are read whole. Repeated rows are judged each; other columns are ignored.
+learnt from. Texts are read whole to predict. A null doc_id is not held out, and not learnt from. Repeated rows are judged each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import ship
 HIDDEN = 8
 CHUNK = 192
 DOCS_PER_LANGUAGE = 300
+#: Characters of a document, from its middle, that the fit may see. Predictions read whole texts.
+STRETCH = 4000
 #: Chunks that run side by side.
 BATCH = 2048
 
@@ -164,21 +166,35 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def trained(docs: DataFrame) -> Network | None:
-    """Fitted on a sample of the rows with text and language that are not held out."""
+def sample(docs: DataFrame, most: int = DOCS_PER_LANGUAGE) -> DataFrame:
+    """lang, doc_id and a stretch of the text of at most ``most`` different documents per language.
+
+    The ones with the smallest hashes of id and text are taken. A first cut by hash leaves about twice as many
+    per language, so no task ranks more, however many rows or tasks there are; equal rows become one
+    before they are ranked.
+    """
     usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.coalesce(~held_out(F.col("doc_id")), F.lit(False)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCS_PER_LANGUAGE)
-    rows = usable.select("doc_id", "text").join(F.broadcast(some.select("doc_id", "lang")), "doc_id")
     # A stretch from the middle of each document is enough for random windows of 64 bytes.
-    stretch = F.substring(F.col("text"), F.greatest(F.lit(1), F.length("text").cast("int") / 2 - 2000).cast("int"), F.lit(4000))
-    sample = sorted((r["lang"], r["doc_id"], r["part"]) for r in rows.select("lang", "doc_id", stretch.alias("part")).collect())
-    if not sample:
+    begin = F.greatest(F.lit(1), (F.length("text") / 2 - STRETCH / 2).cast("int"))
+    marked = usable.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text"), begin, F.lit(STRETCH)).alias("part"))
+    sizes = marked.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    # One row per language; where a language has few documents the cut keeps all.
+    place = (F.col("h") / 2.0**63 + 1) / 2
+    near = marked.join(sizes, "lang").where(place <= F.lit(2.0 * most + 50) / F.col("n"))
+    single = near.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"), F.min("part").alias("part"))
+    ranked = single.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    return ranked.where(F.col("n") <= most).select("lang", "doc_id", "part")
+
+
+def trained(docs: DataFrame) -> Network | None:
+    """Fitted on a sample of the rows with text and language that are not held out."""
+    rows = sorted((r["lang"], r["doc_id"], r["part"]) for r in sample(docs).collect())
+    if not rows:
         return None
-    labels = sorted({r[0] for r in sample})
+    labels = sorted({r[0] for r in rows})
     network = Network(labels)
     number = {x: i for i, x in enumerate(labels)}
-    network.train([r[2].encode() for r in sample], np.array([number[r[0]] for r in sample]))
+    network.train([r[2].encode() for r in rows], np.array([number[r[0]] for r in rows]))
     return network
 
 
@@ -203,4 +219,4 @@ def languages(docs: DataFrame, network: Network | None = None) -> DataFrame:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     made = docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {id_type}, lang_pred string, score double")
-    return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return made.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")

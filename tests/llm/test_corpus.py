@@ -483,3 +483,14 @@ def test_removal_leaves_the_rest(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') and q[2].isdigit() for q in e.queries()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True)
     assert done.returncode == 0 and done.stdout.split()[-1] == "False", done.stderr
+
+
+def test_language_fit_is_bounded_where_rows_repeat(spark):
+    same_id = [(1000, prose(k, 30), "en", "s", 1) for k in range(1200)]
+    same_row = [(2000, prose(7, 900), "en", "s", 1)] * 600 + [(2001, "ein Haus am See", "de", "s", 1)] * 600
+    found = language.sample(spark.createDataFrame(same_id + same_row, DOC).repartition(20)).collect()
+    sizes = Counter(r.lang for r in found)
+    assert 0 < sizes["en"] <= 300 and sizes["de"] <= 1 and max(len(r.part) for r in found) <= language.STRETCH
+    many = spark.createDataFrame([(k, prose(k, 20), "en" if k % 3 else "de", "s", 1) for k in range(2400)], DOC)
+    sizes = Counter(r.lang for r in language.sample(many, 100).collect())
+    assert sizes == {"en": 100, "de": 100}
