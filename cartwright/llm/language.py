@@ -178,9 +178,9 @@ def sample(docs: DataFrame, most: int = DOCS_PER_LANGUAGE) -> DataFrame:
     begin = F.greatest(F.lit(1), (F.length("text") / 2 - STRETCH / 2).cast("int"))
     marked = usable.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text"), begin, F.lit(STRETCH)).alias("part"))
     sizes = marked.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
-    # One row per language; where a language has few documents the cut keeps all.
+    # One row per language, as many as the network has outputs; where a language has few documents the cut keeps all.
     place = (F.col("h") / 2.0**63 + 1) / 2
-    near = marked.join(sizes, "lang").where(place <= F.lit(2.0 * most + 50) / F.col("n"))
+    near = marked.join(F.broadcast(sizes), "lang").where(place <= F.lit(2.0 * most + 50) / F.col("n"))
     single = near.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"), F.min("part").alias("part"))
     ranked = single.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     return ranked.where(F.col("n") <= most).select("lang", "doc_id", "part")
