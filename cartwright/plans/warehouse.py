@@ -87,9 +87,9 @@ class Warehouse:
 
     @cached_property
     def shelves(self) -> DataFrame:
-        """Product attributes as a table: its file size tells the planner whether to broadcast it, so
-        the lines are not shuffled by product first to find out."""
-        return settle(marts.product_categories(shop.shelves(self.raw("part"))))
+        """Product attributes, a projection of their own rows: the file's size tells the planner whether to
+        broadcast them, so the lines are not shuffled by product first to find out."""
+        return marts.product_categories(shop.shelves(self.raw("part")))
 
     @cached_property
     def dim_products(self) -> DataFrame:
