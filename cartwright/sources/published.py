@@ -12,7 +12,7 @@ import json
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from cartwright.operators.quality import QualityError
@@ -85,12 +85,14 @@ class Published:
         return reader.parquet(*folders)
 
     def stage(self, df: DataFrame, by: str | None = None) -> dict:
-        """Write ``df`` to a folder of its own, split by a column if one is given. Rows are counted by
-        the write itself, so another writer's rows are never among them."""
-        folder, seen = f"data/{uuid4().hex}", Observation()
-        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
-        (writer.partitionBy(by) if by else writer).parquet(f"{self.root}/{folder}")
-        return {"folder": folder, "rows": seen.get["rows"]}
+        """Write ``df`` to a folder of its own, split by a column if one is given. Its rows are those in the
+        footers of that folder, so another writer's rows are never among them.
+
+        No Observation: a session that has held one can no longer ship fitted models to its executors.
+        """
+        folder = f"data/{uuid4().hex}"
+        (df.write.partitionBy(by) if by else df.write).parquet(f"{self.root}/{folder}")
+        return {"folder": folder, "rows": self.spark.read.parquet(f"{self.root}/{folder}").count()}
 
     def _audited(self, df: DataFrame, audit: Callable[[DataFrame], DataFrame] | None) -> dict:
         part = self.stage(df)
