@@ -362,6 +362,39 @@ def test_line_dedup_on_edges(spark, edge, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_where_texts_share_an_id(spark):
+    """Different texts with one doc_id, a passage in all of them, hot lines and windows that differ in one line alone."""
+    passage = "\n".join(prose(70 + k, 9) for k in range(7))
+    rows = [(i // 6, f"{prose(400 + i, 12)}\n{passage}\n{prose(500 + i, 20)}") for i in range(18)]
+    rows += [(None, f"{passage}\n{prose(600 + k, 70)}") for k in range(3)]
+    for k in range(30):  # one line of the passage is another one; the rest is too short to be a run
+        lines = passage.split("\n")
+        lines[k % 7] = prose(700 + k, 9)
+        rows.append((100 + k, "\n".join(lines)))
+    rows.append((200, "\n".join([passage, passage, prose(801, 60), passage])))
+    docs = docs_of(spark, rows).repartition(4)
+    con = _duck(spark, documents=docs)
+    assert oracle_check.differences(line_dedup.line_report(docs), con, line_dedup.REPORT_SQL) == []
+
+
+def test_line_dedup_rests_on_its_fingerprints(spark, edge, monkeypatch):
+    """Positions are far fewer than windows, and without the selected positions nothing is found."""
+    along = line_dedup.Window.partitionBy(*line_dedup.ONE).orderBy("line")
+    rows = line_dedup.line_rows(edge).withColumn("stop", F.sum("n").over(along)).withColumn("start", F.col("stop") - F.col("n"))
+    found = line_dedup.fingerprints(rows).select(F.size("windows").alias("n"), "at").agg(F.sum("n"), F.count("at")).first()
+    assert found[1] < 0.75 * found[0]
+    assert line_dedup.removed_lines(edge).count() > 0
+    chosen = line_dedup.fingerprints
+    monkeypatch.setattr(line_dedup, "fingerprints", lambda rows, n: chosen(rows, n).where(F.col("at") < 0))
+    assert line_dedup.removed_lines(edge).count() == 0
+
+
+def test_line_dedup_keeps_clashing_columns(spark, edge):
+    clash = edge.withColumns({c: F.lit(1) for c in ("body", "line", "h", "at", "times", "lines", "words", "_id", "_body", "row", "new")})
+    assert sorted(map(str, line_dedup.dedup_lines(clash).select(*edge.columns).collect())) == sorted(map(str, line_dedup.dedup_lines(edge).collect()))
+    assert line_dedup.dedup_lines(clash).columns == clash.columns
+
+
 def test_blocks_of_a_bucket_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 8)
     texts, rng = [], np.random.default_rng(3)
