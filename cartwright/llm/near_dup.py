@@ -9,8 +9,9 @@ documents form a class.
 Inverse document frequency: ``1 + IDF_WEIGHT * ln(N / max(df, N * SHARE)) / ln(1 / SHARE)``, from 1 for a
 shingle of all documents to 1 + IDF_WEIGHT for one in at most a share of ``SHARE``. So only shingles of
 more documents than that need a table, and those number at most 1 / SHARE times the mean length of a
-document, whatever the corpus holds. They are found exactly: a shingle that frequent is at least that frequent in
-some block of rows, so blocks propose candidates and a second pass counts them.
+document, whatever the corpus holds. They are found exactly: a first pass counts documents per hashed slot in a table
+of ``SLOTS`` numbers per task, whatever its rows; a shingle that frequent lies in a slot at least that full, so a second
+pass counts only the shingles of such slots, which are few: at most 1 / SHARE times the mean number of shingles.
 
 Large groups: a bucket of few texts compares all pairs. In a larger one the most central text (that whose
 buckets are largest) is compared with all others. Such a pair is verified by its texts only if at least
@@ -53,8 +54,8 @@ IDF_WEIGHT = 0.5
 SMALL = 8
 #: Texts and shingles of a block, about.
 BLOCK, BLOCK_SHINGLES = 256, 200_000
-#: Most candidates of the frequency count that are sent to every task; beyond it all shingles are counted.
-CANDIDATES = 2_000_000
+#: Hashed slots of the document counts, and how many of them travel in one row.
+SLOTS, PART = 1 << 20, 1 << 12
 
 _BITS = 18
 _MASK = np.uint64((1 << 52) - 1)
@@ -122,6 +123,10 @@ class Frequencies:
         return repeats * np.where(self.hashes[at] == hashes, self.idf[at], self.rare)
 
 
+def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return (hashes & np.uint64(slots - 1)).astype(np.intp)
+
+
 def samples(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray, texts: int) -> np.ndarray:
     """Consistent weighted samples of several texts, one row per text; texts without shingles get zeros."""
     r, inverse_r, beta, constant, multipliers = drawn()
@@ -147,43 +152,53 @@ def samples(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray, texts: in
     return out
 
 
-def _counted(docs: DataFrame, candidates: np.ndarray | None, local: bool) -> DataFrame:
-    """Per block of rows and shingle: the number of its documents with it. ``local``: only shingles that
-    are frequent within the block. ``candidates``: only those."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tallied(docs: DataFrame, n: int) -> DataFrame:
+    """part and df (binary): how many documents of a task hold a shingle of each of ``n`` hashed slots, in parts of ``PART`` slots."""
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.zeros(n, np.uint32)
+        for part in blocks(batches):
+            slots += np.bincount(_slot(shingles(encoded(part))[1], n), minlength=n).astype(np.uint32)
+        parts = slots.reshape(-1, PART)
+        for k in np.flatnonzero(parts.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names=["part", "df"])
+
+    return docs.select("text").mapInArrow(tally, "part int, df binary")
+
+
+def _crowded(tallied: DataFrame, n: int, least: float) -> np.ndarray:
+    """A mask of the slots that more than ``least`` documents fall into."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            found = [np.zeros(0, np.uint64)]
-            for part in blocks(iter([batch])):
-                hashes = shingles(encoded(part))[1]
-                if candidates is not None:
-                    at = np.minimum(np.searchsorted(candidates, hashes), len(candidates) - 1)
-                    hashes = hashes[candidates[at] == hashes]
-                found.append(hashes)
-            hashes, df = np.unique(np.concatenate(found), return_counts=True)
-            if local:
-                often = df >= batch.num_rows * SHARE
-                hashes, df = hashes[often], df[often]
+            for part, df in zip(batch.column("part").to_pylist(), batch.column("df").to_pylist()):
+                sums.setdefault(part, np.zeros(PART, np.int64))
+                sums[part] += np.frombuffer(df, np.uint32)
+        slots = [part * PART + np.flatnonzero(df > least) for part, df in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *slots]).astype(np.int64))], names=["slot"])
+
+    mask = np.zeros(n, bool)
+    mask[[r["slot"] for r in tallied.repartition("part").mapInArrow(add, "slot long").collect()]] = True  # at most ``n`` rows
+    return mask
+
+
+def _counted(docs: DataFrame, slots: np.ndarray) -> DataFrame:
+    """Per block of rows and shingle of the given slots: the number of its documents with it."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            hashes = shingles(encoded(batch))[1]
+            hashes, df = np.unique(hashes[slots[_slot(hashes, len(slots))]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(df.astype(np.int64))], names=["h", "df"])
 
     return docs.select("text").mapInArrow(count, "h long, df long")
 
 
-def frequencies(docs: DataFrame) -> Frequencies:
+def frequencies(docs: DataFrame, n: int = SLOTS) -> Frequencies:
     """Exact document frequencies of all shingles in more than a share of ``SHARE`` of ``docs``."""
     documents = docs.count()
-    proposed = settle(_counted(docs, None, True).groupBy("h").agg(F.sum("df").alias("df")).select("h"))
-    table = np.zeros(0, np.int64)
-    if proposed.count() <= CANDIDATES:
-        candidates = np.sort(np.array([r[0] for r in proposed.toLocalIterator()], np.int64).astype(np.uint64))
-        counted = _counted(docs, candidates, False) if len(candidates) else None
-    else:
-        counted = _counted(docs, None, False)
-    if counted is not None:
-        often = counted.groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") > documents * SHARE)
-        rows = often.collect()  # at most 1 / SHARE times the mean length of a document
-        table = np.array([r["h"] for r in rows], np.int64)
-        return Frequencies(documents, table.astype(np.uint64), np.array([r["df"] for r in rows], np.int64))
-    return Frequencies(documents, table.astype(np.uint64), table)
+    slots = _crowded(_tallied(docs, n), n, documents * SHARE)
+    often = _counted(docs, slots).groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") > documents * SHARE)
+    rows = often.collect()  # at most 1 / SHARE times the mean length of a document
+    return Frequencies(documents, np.array([r["h"] for r in rows], np.int64).astype(np.uint64), np.array([r["df"] for r in rows], np.int64))
 
 
 def _signatures(docs: DataFrame, known: Frequencies) -> DataFrame:

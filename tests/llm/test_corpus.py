@@ -488,6 +488,24 @@ def test_frequencies_are_exact(spark):
         assert known.weights(np.array([h], np.uint64), np.array([1]))[0] == pytest.approx(1 + scale * np.log(60 / n))
 
 
+@pytest.mark.parametrize("slots", [1 << 12, 1 << 20])
+def test_frequent_shingles_whatever_the_tasks(spark, slots):
+    """The same table over 1 and over 100 tasks, with crowded slots too; few shingles are counted one by one."""
+    rows = [(i, prose(7, 40) + " " + prose(1000 + i, 30) if i % 3 == 0 else prose(i, 60) + " " + prose(8 + i % 40, 20)) for i in range(600)]
+    docs = docs_of(spark, rows).select("text")
+    counts = Counter(h for _, text in rows for h in near_dup.shingles([text.encode()])[1].tolist())
+    truth = {h: n for h, n in counts.items() if n > 600 * near_dup.SHARE}
+    for tasks in (1, 100):
+        dealt = docs.repartition(tasks)
+        known = near_dup.frequencies(dealt, slots)
+        assert set(known.hashes[:-1].tolist()) == set(truth)
+        assert known.weights(np.array(sorted(truth), np.uint64), np.ones(len(truth))).tolist() == near_dup.Frequencies(
+            600, np.array(list(truth), np.uint64), np.array(list(truth.values()))).weights(np.array(sorted(truth), np.uint64), np.ones(len(truth))).tolist()
+        if slots == 1 << 20:
+            crowded = near_dup._crowded(near_dup._tallied(dealt, slots), slots, 600 * near_dup.SHARE)
+            assert near_dup._counted(dealt, crowded).select("h").distinct().count() < 1.2 * len(truth) < 0.1 * len(counts)
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
