@@ -55,7 +55,7 @@ SMALL = 8
 #: Texts and shingles of a block, about.
 BLOCK, BLOCK_SHINGLES = 256, 200_000
 #: Hashed slots of the document counts, and how many of them travel in one row.
-SLOTS, PART = 1 << 20, 1 << 12
+SLOTS, PART = 1 << 20, 1 << 9
 
 _BITS = 18
 _MASK = np.uint64((1 << 52) - 1)
@@ -153,16 +153,20 @@ def samples(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray, texts: in
 
 
 def _tallied(docs: DataFrame, n: int) -> DataFrame:
-    """part and df (binary): how many documents of a task hold a shingle of each of ``n`` hashed slots, in parts of ``PART`` slots."""
+    """part, at and df (binary): how many documents of a task hold a shingle of each of ``n`` hashed slots, in parts of ``PART``
+    slots, without empty ones; so a batch of rows takes 3 kB each at most, and a small task sends little."""
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(n, np.uint32)
         for part in blocks(batches):
             slots += np.bincount(_slot(shingles(encoded(part))[1], n), minlength=n).astype(np.uint32)
         parts = slots.reshape(-1, PART)
-        for k in np.flatnonzero(parts.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names=["part", "df"])
+        held = np.flatnonzero(parts.any(axis=1))
+        at = [np.flatnonzero(parts[k]) for k in held]
+        sent = [pa.array(held, pa.int32()), pa.array([x.astype(np.uint16).tobytes() for x in at], pa.binary()),
+                pa.array([parts[k][x].tobytes() for k, x in zip(held, at)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(sent, names=["part", "at", "df"])
 
-    return docs.select("text").mapInArrow(tally, "part int, df binary")
+    return docs.select("text").mapInArrow(tally, "part int, at binary, df binary")
 
 
 def _crowded(tallied: DataFrame, n: int, least: float) -> np.ndarray:
@@ -170,9 +174,9 @@ def _crowded(tallied: DataFrame, n: int, least: float) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, df in zip(batch.column("part").to_pylist(), batch.column("df").to_pylist()):
+            for part, at, df in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "df"))):
                 sums.setdefault(part, np.zeros(PART, np.int64))
-                sums[part] += np.frombuffer(df, np.uint32)
+                sums[part][np.frombuffer(at, np.uint16)] += np.frombuffer(df, np.uint32)
         slots = [part * PART + np.flatnonzero(df > least) for part, df in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *slots]).astype(np.int64))], names=["slot"])
 
