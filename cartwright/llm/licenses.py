@@ -18,6 +18,7 @@ ignored. Texts of any length are scanned whole; work per template is bounded by
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ THRESHOLD = 0.8
 WHOLE = 4
 #: Bigrams from which a template is a text that may hold notices.
 TEXT = 25
+#: Cells of a matrix of windows that are worked on at once.
+CELLS = 1 << 18
 
 # Licence texts and notices.
 TEMPLATES = {
@@ -162,44 +165,59 @@ class Templates:
         self.least = {name: least * n for name, n in self.size.items()}
         self.most = {name: n / least for name, n in self.size.items()}
 
-    def _windows(self, name: str, at: np.ndarray, grams: list[tuple[str, str]]) -> list[tuple[float, int, int]]:
-        """(coefficient, first and last bigram) of the best windows of a template that do not overlap; ``at``: where its bigrams stand."""
+    def _windows(self, name: str, places: dict[tuple[str, str], np.ndarray]) -> list[tuple[float, int, int]]:
+        """(coefficient, first and last bigram) of the best windows of a template that do not overlap; ``places``: where each bigram stands."""
         size, least, most = self.size[name], self.least[name], self.most[name]
+        grams = [gram for gram in self.grams[name] if gram in places]
+        if sum(min(len(places[gram]), self.grams[name][gram]) for gram in grams) < least:
+            return []
+        stand = np.concatenate([places[gram] for gram in grams])
+        order = np.argsort(stand, kind="stable")
+        at = stand[order]
+        hit = np.empty(len(at), int)
+        hit[order] = np.arange(len(at))
         # A bigram counts unless the template's number of it stands in the window before: ``full`` is the hit so many places back.
-        full, seen = np.full(len(at), -1), {}
-        for k, gram in enumerate(grams):
-            places = seen.setdefault(gram, [])
-            if len(places) >= self.grams[name][gram]:
-                full[k] = places[-self.grams[name][gram]]
-            places.append(k)
+        full, first = np.full(len(at), -1), 0
+        for gram in grams:
+            own, times = hit[first : first + len(places[gram])], self.grams[name][gram]
+            full[own[times:]] = own[:-times]
+            first += len(own)
         found = []
         ends = np.searchsorted(at, at + most, side="right")  # windows of at most ``most`` bigrams, with room for rounding
-        for k in np.flatnonzero(ends - np.arange(len(at)) >= least):
-            sizes = at[k : ends[k]] - at[k] + 1
-            common = np.cumsum(full[k : ends[k]] < k)
-            score = np.where((sizes <= most) & (sizes >= least), 2 * common / (sizes + size), 0)
+        starts = np.flatnonzero(ends - np.arange(len(at)) >= least)
+        width = int((ends[starts] - starts).max(initial=0))
+        step = max(1, CELLS // max(1, width))
+        for first in range(0, len(starts), step):  # many starts at once, a row each
+            k = starts[first : first + step, None]
+            places = k + np.arange(width)
+            inside = places < ends[k]
+            places = np.minimum(places, len(at) - 1)
+            sizes = at[places] - at[k] + 1
+            common = np.cumsum(inside & (full[places] < k), axis=1)
+            score = np.where(inside & (sizes <= most) & (sizes >= least), 2 * common / (sizes + size), 0)
             if size < WHOLE:
                 score[common < size] = 0
-            best = int(score.argmax())
-            if score[best] >= self.threshold:
-                found.append((float(score[best]), int(at[k]), int(at[k + best])))
+            best = score.argmax(1)
+            top = score[np.arange(len(k)), best]
+            for row in np.flatnonzero(top >= self.threshold):
+                start = int(k[row, 0])
+                found.append((float(top[row]), int(at[start]), int(at[start + best[row]])))
         return _apart(sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1])), 1)
 
     def find(self, text: str) -> list[tuple[int, int, str, float]]:
         """(first line, last line, template, coefficient) of the findings in a text, in order."""
         flat = [(w, i) for i, line in enumerate(text.split("\n")) for w in normal_words(line)]
-        places: dict[str, list[int]] = {}
+        stand: dict[tuple[str, str], list[int]] = {}
         for k, ((a, _), (b, _)) in enumerate(zip(flat, flat[1:])):
-            if a in self.first_words:
-                for name in self.of.get((a, b), ()):
-                    places.setdefault(name, []).append(k)
+            if a in self.first_words and (a, b) in self.of:
+                stand.setdefault((a, b), []).append(k)
+        places = {gram: np.array(at) for gram, at in stand.items()}
         found = []
-        for name, at in places.items():
-            if len(at) >= self.least[name]:
-                windows = self._windows(name, np.array(at), [(flat[k][0], flat[k + 1][0]) for k in at])
-                found += [(-score, start - end, name.split("#")[0], start, end, self.size[name]) for score, start, end in windows]
+        for name in dict.fromkeys(name for gram in places for name in self.of[gram]):
+            found += [(-score, start - end, name.split("#")[0], start, end, self.size[name]) for score, start, end in self._windows(name, places)]
         # A notice within a licence text belongs to it.
-        found = [x for x in found if not any(y[3] <= x[3] and x[4] <= y[4] and y[5] >= max(2 * x[5], TEXT) for y in found)]
+        holders = _Holders(found)
+        found = [x for x in found if not holders.hold(x)]
         taken = _apart(sorted(found), 3)
         return [(flat[start][1], flat[end + 1][1], name, -score) for score, _, name, start, end, _ in sorted(taken, key=lambda x: x[3])]
 
@@ -207,12 +225,34 @@ class Templates:
 def _apart(found: list[tuple], start: int) -> list[tuple]:
     """The findings that share no word with one before them; ``start``: where a finding has its first and last bigram."""
     taken: list[tuple] = []
+    starts: list[int] = []  # those taken share no word, so in their order the ends ascend as well
+    ends: list[int] = []
     for x in found:
-        if all(x[start + 1] + 1 < t[start] or t[start + 1] + 1 < x[start] for t in taken):
+        before = bisect_right(starts, x[start + 1] + 1)
+        if not before or ends[before - 1] + 1 < x[start]:
             taken.append(x)
+            starts.insert(before, x[start])
+            ends.insert(before, x[start + 1])
     return taken
 
 
+class _Holders:
+    """Findings of licence texts by size, each size by start with the furthest end so far: who holds a span needs one search a size."""
+
+    def __init__(self, found: list[tuple]) -> None:
+        self.by_size: dict[int, tuple[list[int], list[int]]] = {}
+        for _, _, _, start, end, size in sorted((x for x in found if x[5] >= TEXT), key=lambda x: x[3]):
+            starts, furthest = self.by_size.setdefault(size, ([], []))
+            starts.append(start)
+            furthest.append(max(end, furthest[-1]) if furthest else end)
+
+    def hold(self, x: tuple) -> bool:
+        for size, (starts, furthest) in self.by_size.items():
+            if size >= 2 * x[5] and (k := bisect_right(starts, x[3])) and furthest[k - 1] >= x[4]:
+                return True
+        return False
+
+
 def licences(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, first_line, last_line (from 0), licence and dice: one row per finding."""
     ship(docs.sparkSession)

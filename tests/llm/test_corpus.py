@@ -154,6 +154,26 @@ def test_licences_within_lines_and_in_other_words():
         assert names("words before " + licenses.TEMPLATES[name].replace(" any ", " each ") + " words after") == [name]
 
 
+def test_licences_of_a_text_with_very_many_notices():
+    known = licenses.Templates(licenses.TEMPLATES)
+    lines = ["licensed under the GNU General Public License version 3 and more", "some words", "under the MIT License of old"]
+    found = known.find("\n".join(lines * 20_000))
+    assert [(a, b, name) for a, b, name, _ in found] == [x for k in range(0, 60_000, 3) for x in ((k, k, "GPL-3.0-notice"), (k + 2, k + 2, "MIT-notice"))]
+
+
+def test_licence_findings_apart_and_held_as_defined():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        found = [(0, 0, "", int(a), int(a + n), int(size)) for a, n, size in zip(rng.integers(0, 60, 30), rng.integers(0, 12, 30), rng.integers(2, 60, 30))]
+        taken = []
+        for x in found:
+            if all(x[4] + 1 < t[3] or t[4] + 1 < x[3] for t in taken):
+                taken.append(x)
+        assert licenses._apart(found, 3) == taken
+        holders = licenses._Holders(found)
+        assert [holders.hold(x) for x in found] == [any(y[3] <= x[3] and x[4] <= y[4] and y[5] >= max(2 * x[5], licenses.TEXT) for y in found) for x in found]
+
+
 def test_licence_windows_by_brute_force():
     known = licenses.Templates({"a": "w1 w2 w3 w1 w2 w4", "b": "w5 w1 w2 w5 w5 w3 w4 w2"})
     rng = np.random.default_rng(5)
