@@ -32,7 +32,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces per shard, on average: what one task sorts and packs.
 SHARD = 25_000
-#: Distinct words whose ids a worker keeps.
+#: Distinct words whose ids a task keeps.
 CACHE = 1_000_000
 
 #: Letters whose lower case and composed form are single characters.
@@ -82,6 +82,11 @@ class WordIds(dict):
         self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drop all word ids, so that a worker without a task holds none."""
+        self.clear()
+        self.runs.clear()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
@@ -90,7 +95,7 @@ _tokenizers: dict[str, WordIds] = {}
 
 
 def tokenizer_for(path: str) -> WordIds:
-    """One per worker process: its word ids serve all tasks of the worker."""
+    """One per worker process."""
     if path not in _tokenizers:
         _tokenizers[path] = WordIds(path)
     return _tokenizers[path]
@@ -133,6 +138,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
                 yield pa.RecordBatch.from_arrays(
                     [*taken.columns, number, starts, lengths, pa.array(ids, pa.binary())], names=schema.names
                 )
+        words.forget()
 
     return docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
