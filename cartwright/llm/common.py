@@ -104,7 +104,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
-def blocks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, rows: int = 4096) -> Iterator[tuple[pa.RecordBatch, int, int]]:
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, rows: int = 4096) -> Iterator[tuple[pa.RecordBatch, int, int]]:
     """Slices of batches with about ``limit`` bytes of texts and at most ``rows`` rows."""
     for batch in batches:
         size = batch.column("text").nbytes if batch.num_rows else 0
