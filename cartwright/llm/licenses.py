@@ -156,10 +156,10 @@ class Templates:
         self.threshold = threshold
         self.grams = {name: Counter(bigrams(normal_words(" ".join(text.split("\n"))))) for name, text in templates.items()}
         self.size = {name: grams.total() for name, grams in self.grams.items()}
-        self.of: dict[tuple[str, str], list[str]] = {}
+        self.of: dict[tuple[str, str], list[tuple[str, int]]] = {}
         for name, grams in self.grams.items():
-            for gram in grams:
-                self.of.setdefault(gram, []).append(name)
+            for gram, times in grams.items():
+                self.of.setdefault(gram, []).append((name, times))
         self.first_words = {gram[0] for gram in self.of}
         least = threshold / (2 - threshold)
         self.least = {name: least * n for name, n in self.size.items()}
@@ -169,8 +169,6 @@ class Templates:
         """(coefficient, first and last bigram) of the best windows of a template that do not overlap; ``places``: where each bigram stands."""
         size, least, most = self.size[name], self.least[name], self.most[name]
         grams = [gram for gram in self.grams[name] if gram in places]
-        if sum(min(len(places[gram]), self.grams[name][gram]) for gram in grams) < least:
-            return []
         stand = np.concatenate([places[gram] for gram in grams])
         order = np.argsort(stand, kind="stable")
         at = stand[order]
@@ -211,9 +209,15 @@ class Templates:
         for k, ((a, _), (b, _)) in enumerate(zip(flat, flat[1:])):
             if a in self.first_words and (a, b) in self.of:
                 stand.setdefault((a, b), []).append(k)
-        places = {gram: np.array(at) for gram, at in stand.items()}
+        shared: dict[str, int] = {}
+        for gram, at in stand.items():
+            n = len(at)
+            for name, times in self.of[gram]:
+                shared[name] = shared.get(name, 0) + (n if n < times else times)
+        enough = [name for name, n in shared.items() if n >= self.least[name]]
+        places = {gram: np.array(at) for gram, at in stand.items()} if enough else {}
         found = []
-        for name in dict.fromkeys(name for gram in places for name in self.of[gram]):
+        for name in enough:
             found += [(-score, start - end, name.split("#")[0], start, end, self.size[name]) for score, start, end in self._windows(name, places)]
         # A notice within a licence text belongs to it.
         holders = _Holders(found)
