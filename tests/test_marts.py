@@ -1,5 +1,6 @@
 """Edge rows of the marts, checked by hand."""
 
+import re
 from decimal import Decimal
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import Row, functions as F
 from cartwright.functions import segments as seg
 from cartwright.operators import quality as dq
 from cartwright.plans import incremental, insights, marts, staging
-from cartwright.plans.history import training_dataset
+from cartwright.plans.history import first_meetings, order_categories, training_dataset
 from cartwright.schemas import FEATURE_STORE_COLUMNS
 
 ORDERS = "order_id long, user_id long, eval_set string, order_number int, order_dow int, " \
@@ -100,6 +101,19 @@ def test_training_rows_use_only_the_past(shop):
     assert rows[6].order_frequency_30d == 0
 
 
+def test_lines_are_dealt_before_they_are_grouped(shop):
+    """No task combines whole splits of lines, or as many as adaptive execution merges, in memory."""
+    facts = marts.fct_orders(shop[0], shop[1])
+    met = first_meetings(facts, shop[1], shop[2])
+    by_order = order_categories(shop[1], shop[2], [("dairy", "department", "dairy eggs")])
+    for made, keys in ((met, "user_id#\\d+L?, product_id#\\d+L?"), (by_order, "order_id#\\d+L?")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"Exchange hashpartitioning\({keys}, \d+\), REPARTITION_BY_NUM", plan)
+    totals = met.agg(*[F.sum(f"new_{kind}") for kind in ("product", "department", "aisle")]).first()
+    known = shop[1].join(shop[2], "product_id").join(facts, "order_id")
+    assert [*totals] == [known.select("user_id", c).distinct().count() for c in ("product_id", "department", "aisle")]
+
+
 def test_row_limit_keeps_lowest_users(shop):
     facts = marts.fct_orders(shop[0], shop[1])
     limited = training_dataset(facts, shop[1], shop[2], row_limit=2)
