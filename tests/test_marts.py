@@ -114,6 +114,13 @@ def test_lines_are_dealt_before_they_are_grouped(shop):
     assert [*totals] == [known.select("user_id", c).distinct().count() for c in ("product_id", "department", "aisle")]
 
 
+def test_expanded_first_meetings_are_dealt(shop):
+    """The three rows of every first meeting are grouped where they are dealt, not before the shuffle."""
+    met = first_meetings(marts.fct_orders(shop[0], shop[1]), shop[1], shop[2])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(user_id#\d+L?, kind#\d+, value#\d+, \d+\), REPARTITION_BY_NUM", plan)
+
+
 def test_row_limit_keeps_lowest_users(shop):
     facts = marts.fct_orders(shop[0], shop[1])
     limited = training_dataset(facts, shop[1], shop[2], row_limit=2)

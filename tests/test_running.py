@@ -1,6 +1,7 @@
 """Prefix scans over ranges against brute force: hot groups, a NULL group, crowded days and scores."""
 
 import random
+import re
 import statistics
 
 import pytest
@@ -47,6 +48,12 @@ def test_scan(spark, ranges):
             assert r.gaps.m2 == pytest.approx(statistics.pvariance(gaps) * place if gaps else 0.0, rel=1e-6, abs=1e-4)
 
 
+def test_ends_of_ranges_sort_only_the_ends_of_groups(spark):
+    rows = spark.createDataFrame(skewed(), SKEWED)
+    plan = scan(rows, ["user"], ["number"], {"n": F.lit(1)})._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Filter \(\(_row#\d+ = 1\) OR isnull\(_more#\d+\)\)", plan)
+
+
 def test_a_scan_takes_over_the_ranges_of_an_earlier_one(spark):
     first = scan(spark.createDataFrame(skewed(), SKEWED), ["user"], ["number"], {"n": F.lit(1)}, ranges=9)
     second = scan(first.withColumn("odd", F.col("n") % 2), ["user"], ["number"], {"odd_before": F.col("odd")})
