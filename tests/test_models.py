@@ -129,6 +129,24 @@ def test_training_validation(spark):
             tr.validate_training(broken)
 
 
+def test_rows_of_a_fit_lie_the_same_whatever_their_files(spark, monkeypatch):
+    """Estimators sample by partition and place, so both follow from the rows alone, and partitions are even."""
+    monkeypatch.setattr(tr, "FIT_ROWS", 100)
+    df = spark.range(2000).select(F.col("id").alias("order_id"))
+
+    def lie(rows):
+        return [[r.order_id for r in part] for part in tr.fit_rows(rows, 2000).rdd.glom().collect()]
+
+    first = lie(df.repartition(3))
+    assert first == lie(df.orderBy(F.desc("order_id")).coalesce(1)) and len(first) == 20
+    assert sorted(sum(first, [])) == list(range(2000)) and max(map(len, first)) < 160
+    seen = []
+    monkeypatch.setattr(tr, "candidate_models", lambda *a: {"m": type("P", (), {"fit": lambda self, t: seen.append(t.rdd.getNumPartitions())})()})
+    monkeypatch.setattr(tr, "probability_scores", lambda model, test: test.withColumn("score", F.lit(0.5)))
+    tr.fit_candidates(df.withColumn("label", (F.col("order_id") % 2).cast("int")))
+    assert seen == [16]
+
+
 def test_fit_score_save_and_load(spark, tmp_path):
     rows = tr.training_matrix(matrix_rows(spark))
     models, test_scores = tr.fit_candidates(rows, scale=0.05)
