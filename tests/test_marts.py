@@ -8,8 +8,10 @@ from pyspark.sql import Row, functions as F
 
 from cartwright.functions import segments as seg
 from cartwright.operators import quality as dq
+from cartwright.operators.running import RANGE
 from cartwright.plans import incremental, insights, marts, staging
 from cartwright.plans.history import first_meetings, order_categories, training_dataset
+from cartwright.plans.warehouse import Warehouse
 from cartwright.schemas import FEATURE_STORE_COLUMNS
 
 ORDERS = "order_id long, user_id long, eval_set string, order_number int, order_dow int, " \
@@ -121,6 +123,15 @@ def test_expanded_first_meetings_are_dealt(shop):
     assert re.search(r"Exchange hashpartitioning\(user_id#\d+L?, kind#\d+, value#\d+, \d+\), REPARTITION_BY_NUM", plan)
 
 
+def test_lines_are_dealt_before_orders_are_totalled(spark):
+    """Lines of an order lie far apart in their file: no task combines a whole split of them in memory."""
+    shop = Warehouse(spark, "/root/testdata/sf0.001")
+    plan = shop.dealt_facts._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(order_id#\d+L?, \d+\), REPARTITION_BY_NUM", plan)
+    rows = shop.dealt_facts.drop(RANGE)
+    assert rows.exceptAll(shop.fct_orders).count() == 0 and rows.count() == shop.raw("orders").count()
+
+
 def test_row_limit_keeps_lowest_users(shop):
     facts = marts.fct_orders(shop[0], shop[1])
     limited = training_dataset(facts, shop[1], shop[2], row_limit=2)
