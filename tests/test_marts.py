@@ -116,6 +116,13 @@ def test_lines_are_dealt_before_they_are_grouped(shop):
     assert [*totals] == [known.select("user_id", c).distinct().count() for c in ("product_id", "department", "aisle")]
 
 
+def test_lines_are_dealt_before_they_meet_their_orders(shop):
+    """No task sorts as many lines for the join with their orders as adaptive execution merges."""
+    met = first_meetings(marts.fct_orders(shop[0], shop[1]), shop[1], shop[2])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(order_id#\d+L?, \d+\), REPARTITION_BY_NUM", plan)
+
+
 def test_expanded_first_meetings_are_dealt(shop):
     """The three rows of every first meeting are grouped where they are dealt, not before the shuffle."""
     met = first_meetings(marts.fct_orders(shop[0], shop[1]), shop[1], shop[2])
