@@ -147,6 +147,19 @@ def test_rows_of_a_fit_lie_the_same_whatever_their_files(spark, monkeypatch):
     assert seen == [16]
 
 
+def test_forest_keeps_where_rows_stand_and_stays_the_same(spark):
+    """A level of the trees does not walk all rows down from the roots again; trees, nodes and splits are unchanged."""
+    rows = tr.training_matrix(matrix_rows(spark)).withColumn("class_weight", F.lit(1.0) + F.col("label"))
+    forest = tr.candidate_models(scale=0.05)["random_forest"]
+    trees = forest.getStages()[-1]
+    assert trees.getCacheNodeIds()
+    kept = forest.fit(rows).stages[-1]
+    trees.setCacheNodeIds(False)
+    walked = forest.fit(rows).stages[-1]
+    assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in walked.trees]
+    assert kept.totalNumNodes > 4 * 10
+
+
 def test_fit_score_save_and_load(spark, tmp_path):
     rows = tr.training_matrix(matrix_rows(spark))
     models, test_scores = tr.fit_candidates(rows, scale=0.05)
